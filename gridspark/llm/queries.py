@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module that holds a function of that name
 _QUERIES = {
     "op1_byte_bpe": "bpe",
+    "op2_pii": "pii",
     "op7_quality_rules": "quality",
     "op8_best_fit_packing": "packing",
     "op9_media_columns": "media",
