@@ -15,6 +15,7 @@ _QUERIES = {
     "op7_quality_rules": "quality",
     "op8_best_fit_packing": "packing",
     "op9_media_columns": "media",
+    "op10_suffix_array": "suffixes",
 }
 
 
