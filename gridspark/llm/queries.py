@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_byte_bpe": "bpe",
     "op2_pii": "pii",
+    "op5_line_dedup": "lines",
     "op6_minhash": "minhash",
     "op7_quality_rules": "quality",
     "op8_best_fit_packing": "packing",
