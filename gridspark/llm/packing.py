@@ -15,6 +15,7 @@ Null texts count as empty and have one token, the end id. Repeated rows are pack
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,14 +32,20 @@ CAPACITY, END_ID = 2048, 0
 MEMO_ENTRIES, MEMO_LENGTH = 600_000, 64
 #: Control characters that split() takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: The tokenizer's own split, for lower-case text below U+0250.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]++|[{_N}]|[^{_S}{_L}{_N}]++")
+_BEYOND = re.compile("[^\x00-ɏ]")
 
 
 class WordTokenizer:
-    """Ids of whole texts by the tokenizers library, each word between white space once.
+    """Ids of whole texts by the tokenizers library, each different piece once.
 
-    The tokenizer never forms a token across white space and its normalization treats the words
-    apart, so a text's ids are those of its words in turn; they are kept in a bounded memo. Texts
-    with control characters on which both sides differ about white space are encoded whole."""
+    The tokenizer never forms a token across the pieces of its split, so a text's ids are those of
+    its pieces in turn; they are kept in a bounded memo. Below U+0250 its normalization is lower
+    case, character by character, and the split is done here. Other texts are cut at white space
+    only, where normalization can't reach across; those with control characters on which both
+    sides differ about white space are encoded whole."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,9 +60,13 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if any(c in text for c in _ODD):
+        if text.isascii() or not _BEYOND.search(text):
+            words = _PIECE.findall(text.lower())
+        elif any(c in text for c in _ODD):
             return self._library([text])[0]
-        words, memo = text.split(), self.memo
+        else:
+            words = text.split()
+        memo = self.memo
         try:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
