@@ -32,17 +32,17 @@ CAPACITY, END_ID = 2048, 0
 MEMO_ENTRIES, MEMO_LENGTH = 600_000, 64
 #: Control characters that split() takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
-#: The tokenizer's own split, for lower-case text below U+0250.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+#: The tokenizer's own split, for lower-case text below U+0180.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]++|[{_N}]|[^{_S}{_L}{_N}]++")
-_BEYOND = re.compile("[^\x00-ɏ]")
+_BEYOND = re.compile("[^\x00-ſ]")
 
 
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, each different piece once.
 
     The tokenizer never forms a token across the pieces of its split, so a text's ids are those of
-    its pieces in turn; they are kept in a bounded memo. Below U+0250 its normalization is lower
+    its pieces in turn; they are kept in a bounded memo. Below U+0180 its normalization is lower
     case, character by character, and the split is done here. Other texts are cut at white space
     only, where normalization can't reach across; those with control characters on which both
     sides differ about white space are encoded whole."""
