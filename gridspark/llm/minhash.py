@@ -172,3 +172,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents that are not the first, by doc_id, of their component. Rows
+    without a doc_id stay."""
+    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -139,3 +139,12 @@ def judge(docs: DataFrame) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that pass, with their columns as they are. The texts, with their measures
+    beside them, are written once, compressed, and read for the sketches (measures only) and the
+    verdict."""
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), "text", "lang", "source")
+    measured = common.written(measures(whole).drop("text"))
+    return verdicts(measured).where("kept").select("_doc.*")

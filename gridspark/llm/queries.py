@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_byte_bpe": "bpe",
     "op2_pii": "pii",
+    "op3_toxicity": "toxicity",
+    "op4_html_text": "pages",
     "op5_line_dedup": "lines",
     "op6_minhash": "minhash",
     "op7_quality_rules": "quality",
