@@ -3,7 +3,8 @@
 A document's set holds the distinct shingles of `words` words, as 64-bit hashes. Two permutations
 of the 32-bit integers make all signature coordinates: the first breaks up structure, the second
 is shifted circularly by k for coordinate k. Bands of ROWS coordinates give candidates: at a
-similarity of 0.8 all BANDS miss with probability 1e-7.
+similarity of 0.8 all BANDS miss with probability 1e-5; at 0.4, as texts around one common passage
+have, a pair meets with probability 0.02.
 
 Documents of equal sets form a class first, so that copies, however many, are one row from then
 on. In each bucket the members are compared with one centre, the member that meets most others;
@@ -22,12 +23,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graph
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 80, 9
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 _U64 = np.uint64
 
@@ -39,12 +41,11 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _permute(x: np.ndarray, first: int, second: int) -> np.ndarray:
-    """A permutation of the 32-bit integers, in place: xor-shifts and odd multipliers."""
-    x ^= x >> np.uint32(16)
+    """A permutation of the 32-bit integers, in place: two odd multipliers and a xor-shift. Least
+    values are taken of it, so the high bits are what must be well mixed."""
     x *= np.uint32(first)
-    x ^= x >> np.uint32(13)
+    x ^= x >> np.uint32(15)
     x *= np.uint32(second)
-    x ^= x >> np.uint32(16)
     return x
 
 
@@ -62,9 +63,12 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray, block: int = 512) -> np.ndarray:
+def signature(found: np.ndarray, block: int = 128) -> np.ndarray:
     """Coordinate k: the least of the second permutation, shifted by k, over the first's values."""
-    start = _permute((found ^ (found >> _U64(32))).astype(np.uint32), 0x85EBCA6B, 0xC2B2AE35)
+    start = (found ^ (found >> _U64(32))).astype(np.uint32)
+    start ^= start >> np.uint32(16)
+    start = _permute(start, 0x85EBCA6B, 0xC2B2AE35)
+    start ^= start >> np.uint32(16)
     least = np.full(len(_SHIFTS), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(start), block):
         values = _permute(start[at : at + block, None] + _SHIFTS[None], 0xCC9E2D51, 0x1B873593)
@@ -106,12 +110,21 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
     return common.need(docs, "doc_id", "text").mapInArrow(run, common.ddl(_SIGNED))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id, set of the documents wanted; the texts move compressed."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield common.batch(_SETS, {"doc_id": b.column(0).to_pylist(), "set": [press(t.encode()) for t in common.texts(b.column(1))]})
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for b in batches:
-            yield common.batch(_SETS, {"doc_id": b.column(0).to_pylist(), "set": [shingles(t, words).tobytes() for t in common.texts(b.column(1))]})
+            yield common.batch(_SETS, {"doc_id": b.column(0).to_pylist(), "set": [shingles(press.decompress(t.as_py(), max_output_size=1 << 31).decode(), words).tobytes() for t in b.column(1)]})
 
-    return docs.select("doc_id", "text").mapInArrow(run, common.ddl(_SETS))
+    packed = docs.mapInArrow(pack, common.ddl(_SETS)).join(wanted, "doc_id", "left_semi")
+    return packed.mapInArrow(run, common.ddl(_SETS))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,25 +145,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key (column 0): those whose key another row has too. Holds one row."""
+    last: pa.RecordBatch | None = None
+    out_last = False  # whether the row held belongs to the result already
+    for b in batches:
+        if not len(b):
+            continue
+        whole = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+        key = whole.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.concatenate([[out_last], same]) | np.concatenate([same, [False]])
+        yield whole.slice(0, len(whole) - 1).filter(pa.array(keep[:-1]))
+        last, out_last = whole.slice(len(whole) - 1), bool(keep[-1])
+    if last is not None and out_last:
+        yield last
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
     common.ready(docs.sparkSession)
     docs = common.need(docs, "doc_id", "text")
-    signed = common.checkpointed(sign(docs, words))
+    signed = common.written(sign(docs, words))
     real = signed.where("n_shingles > 0 and doc_id is not null")
     # classes of equal sets; the least id stands for all
     classes = common.checkpointed(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    lead = real.join(classes, ["set_a", "set_b"]).where("doc_id = rep").select("rep", "n_shingles", F.explode(F.array_distinct("bands")).alias("key")).distinct()
+    first = real.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("_l"))
+    lead = first.select(F.explode("_l.bands").alias("key"), F.col("_l.doc_id").alias("rep"), F.col("_l.n_shingles").alias("n_shingles"))
     # buckets of two classes or more; members that meet most others come first as centres
-    shared = lead.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = common.checkpointed(lead.join(shared, "key"))
-    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    members = common.checkpointed(lead.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, lead.schema))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    met = members.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("met"))
     ranked = members.join(met, "rep").select("key", "rep", "n_shingles", F.struct(F.col("met"), (-F.col("rep")).alias("o")).alias("rank"))
     centres = ranked.groupBy("key").agg(F.max(F.struct("rank", "n_shingles")).alias("c")).select("key", (-F.col("c.rank.o")).alias("a"), F.col("c.n_shingles").alias("na"))
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     first = members.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("nb")).join(centres, "key").where(f"a != b and {fits}").select("a", "b").distinct()
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = common.checkpointed(_sets(docs.join(involved, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.first("set").alias("set")))
+    sets = common.written(_sets(docs, involved, words).groupBy("doc_id").agg(F.max("set").alias("set")))
     links = common.checkpointed(_confirmed(first, sets, percent))
     label = graph.components(links)
     # members that are not in their centre's component meet the rest of their bucket
