@@ -1,0 +1 @@
+"""No streaming operator: a store is a snapshot, read as it is when a query is planned."""
