@@ -31,10 +31,10 @@ from . import common
 #: Labelled rows that the model is fitted on, at most; terms of the lexicon, at most.
 TRAIN_ROWS, TERMS, CANDIDATES = 20_000, 400, 4000
 #: A term must occur in so many toxic documents, and by so much more often (natural log) in them.
-LEAST, ODDS = 3, 2.5
+LEAST, ODDS = 3, 1.5
 #: Toxic documents count as covered once they hold so many of the terms chosen.
 COVER = 4
-BEGINNINGS, WINDOW = (4, 5, 6), 6
+BEGINNINGS, WINDOW = (4, 5, 6, 7, 8), 6
 MEMO = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile("[\"“”„«»‹›]|(?<!\\w)['‘]|['’](?!\\w)")
@@ -50,8 +50,9 @@ def allowed(term: str) -> int:
 class Matcher:
     """The automaton over a lexicon. Terms that end in * are beginnings and allow no edits."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], weights: list[float] | None = None):
         self.terms = terms
+        self.weights = weights or [1.0] * len(terms)
         self.children: list[dict[str, int]] = [{}]
         self.end: list[int] = [-1]
         self.begins: list[int] = [-1]
@@ -137,7 +138,8 @@ N_FEATURES = 7
 
 
 def features(matcher: Matcher, text: str) -> list[float]:
-    """Bias, exact hits, near hits, quoted hits, different terms, hits a thousand words, any hit."""
+    """Bias, exact hits, near hits, quoted hits, different terms, hits a thousand words, and the odds
+    of the different terms together."""
     words = _WORD.findall(text.lower())
     if not words:
         return [1.0] + [0.0] * (N_FEATURES - 1)
@@ -166,7 +168,7 @@ def features(matcher: Matcher, text: str) -> list[float]:
         else:
             exact += 1
             different.add(f[1])
-    return [1.0, math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(len(different)), math.log1p(1000 * exact / len(words)) / 4, float(exact > 0)]
+    return [1.0, math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(len(different)), math.log1p(1000 * exact / len(words)) / 4, sum(matcher.weights[t] for t in different) / 5]
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -195,8 +197,8 @@ def _terms_of(text: str) -> set[str]:
 _COUNTS = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
 
-def mine(sample: DataFrame) -> list[str]:
-    """The lexicon: terms of the highest odds that between them cover the toxic documents."""
+def mine(sample: DataFrame) -> list[tuple[str, float]]:
+    """The lexicon: terms, with their log odds, that between them cover the toxic documents."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,6 +231,7 @@ def mine(sample: DataFrame) -> list[str]:
             inside.setdefault(t, []).append(d)
     need = np.full(len(docs), COVER)
     chosen: list[str] = []
+    odds_of = {r["term"]: float(r["odds"]) for r in found}
     least = max(LEAST, len(docs) // 300)
     taken: dict[str, set[int]] = {}
     for i, r in enumerate(found):
@@ -242,11 +245,11 @@ def mine(sample: DataFrame) -> list[str]:
             need[own] -= 1
         if len(chosen) == TERMS or not (need > 0).any():
             break
-    return chosen
+    return [(t, odds_of[t]) for t in chosen]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] | None:
-    """The lexicon and the model's weights, from TRAIN_ROWS labelled rows at most."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float], np.ndarray] | None:
+    """The lexicon, its terms' odds and the model's weights, from TRAIN_ROWS labelled rows at most."""
     spark = docs.sparkSession
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     picked = one.where(~_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
@@ -255,18 +258,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] |
         return None
     bounded = F.broadcast(spark.createDataFrame(rows, "doc_id long, label int"))  # TRAIN_ROWS rows at most
     sample = common.written(docs.select("doc_id", "text").join(bounded, "doc_id"))
-    terms = mine(sample)
-    if not terms:
+    mined = mine(sample)
+    if not mined:
         return None
+    terms, weights = [t for t, _ in mined], [w for _, w in mined]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, weights)
         for b in batches:
             x = [features(matcher, t) for t in common.texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int64())], names=["x", "y"])
 
     got = sample.select("text", "label").mapInArrow(measure, "x array<double>, y bigint").collect()
-    return terms, fit(np.array([r[0] for r in got]), np.array([r[1] for r in got], float))
+    return terms, weights, fit(np.array([r[0] for r in got]), np.array([r[1] for r in got], float))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_exact", pa.int64()), ("n_other", pa.int64())])
@@ -280,13 +284,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # TERMS terms at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value[0]) if shared.value else None
+        matcher = Matcher(shared.value[0], shared.value[1]) if shared.value else None
         for b in batches:
             out: dict = {f.name: [] for f in _OUT}
             out["doc_id"], out["held_out"] = b.column(0).to_pylist(), b.column(2).to_pylist()
             for text in common.texts(b.column(1)):
                 x = features(matcher, text) if matcher else [0.0] * N_FEATURES
-                p = float(1 / (1 + np.exp(-np.clip(np.dot(x, shared.value[1]), -30, 30)))) if matcher else 0.0
+                p = float(1 / (1 + np.exp(-np.clip(np.dot(x, shared.value[2]), -30, 30)))) if matcher else 0.0
                 p = round(p, 6)
                 for name, value in zip(_OUT.names[2:], (p, int(p >= 0.5), round(math.expm1(x[1])), round(math.expm1(x[2])) + round(math.expm1(x[3])))):
                     out[name].append(value)
