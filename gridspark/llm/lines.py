@@ -39,7 +39,7 @@ Gap = tuple[int, int, int, int]  # start, end, edits left, length of the listed
 
 
 def _hash(text: str, seed: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(text, seed=seed) - (1 << 63)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -219,7 +219,8 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- crowded keys ---------------------------------------------------------------------------
 
-_STATE = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("own", pa.bool_()), ("gaps", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("packed", pa.binary())])
+_STATE = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("own", pa.bool_()), ("gaps", pa.list_(pa.int64()))])
+_SORTED_OUT = pa.schema([*_STATE, ("crowded", pa.bool_())])
 
 
 def first_gaps(line: str, key: int, own: bool, k: int) -> Iterator[list[Gap]]:
@@ -266,22 +267,58 @@ def finer(line: str, key: int, own: bool, gaps: list[Gap]) -> Iterator[tuple[int
 
 
 def _refine(first: bool, k: int):  # noqa: ANN202
+    """Rows of state beside their lines' text (packed): the rows under finer keys."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for b in batches:
             rows: dict = {}
             for x in b.to_pylist():
-                line = press.decompress(x["packed"], max_output_size=1 << 30).decode("utf-8", "surrogatepass")
+                line = press.decompress(x["packed"], max_output_size=1 << 30).decode()
                 flat = x["gaps"] or []
                 starts = first_gaps(line, x["key"], x["own"], k) if first else [[tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]]
                 for gaps in starts:
                     for key, left in finer(line, x["key"], x["own"], gaps):
-                        rows[key, x["line"], x["own"], tuple(left)] = x
-            yield common.batch(_STATE, {"key": [r[0] for r in rows], "line": [r[1] for r in rows], "own": [r[2] for r in rows], "gaps": [[v for g in r[3] for v in g] for r in rows], **{c: [x[c] for x in rows.values()] for c in ("doc_id", "row", "at", "packed")}})
+                        rows[key, x["line"], x["own"], tuple(left)] = None
+            yield common.batch(_STATE, {"key": [r[0] for r in rows], "line": [r[1] for r in rows], "own": [r[2] for r in rows], "gaps": [[v for g in r[3] for v in g] for r in rows]})
 
     return run
 
 
+def _classified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: those of keys under which lines can meet, and whether they are crowded.
+    Of a key, CROWD lines are held at most; once there are more its rows pass on as they come."""
+    held: list[tuple] = []
+    lines: set[int] = set()
+    key, crowded = None, False
+
+    def settle() -> list[tuple]:
+        if crowded or len(lines) < 2 or not any(r[2] for r in held) or all(r[2] for r in held):
+            return []
+        return [(*r, False) for r in dict.fromkeys(held)]
+
+    for b in batches:
+        out: list[tuple] = []
+        for k, line, own, gaps in zip(*(c.to_pylist() for c in b.columns)):
+            if k != key:
+                out += settle()
+                held, lines, key, crowded = [], set(), k, False
+            row = (k, line, own, tuple(gaps))
+            if crowded:
+                out.append((*row, True))
+                continue
+            held.append(row)
+            lines.add(line)
+            if len(lines) > CROWD:
+                crowded = True
+                out += [(*r, True) for r in dict.fromkeys(held)]
+                held = []
+        yield common.batch(_SORTED_OUT, {f.name: [list(r[i]) if i == 3 else r[i] for r in out] for i, f in enumerate(_SORTED_OUT)})
+    out = settle()
+    if out:
+        yield common.batch(_SORTED_OUT, {f.name: [list(r[i]) if i == 3 else r[i] for r in out] for i, f in enumerate(_SORTED_OUT)})
+
+
 def _order(x: dict) -> tuple:
     return (x["doc_id"] is None, x["doc_id"] or 0, x["row"], x["at"])
 
@@ -299,7 +336,7 @@ def _verify_keys(k: int):  # noqa: ANN202
                 y = lines.setdefault(x["line"], [x, False, False])
                 y[1 if x["own"] else 2] = True
             ranked = sorted(lines.values(), key=lambda y: _order(y[0]))
-            texts = [press.decompress(y[0]["packed"], max_output_size=1 << 30).decode("utf-8", "surrogatepass") for y in ranked]
+            texts = [press.decompress(y[0]["packed"], max_output_size=1 << 30).decode() for y in ranked]
             gone = []
             for i, y in enumerate(ranked):
                 for j in range(i):
@@ -323,23 +360,24 @@ def _verify_keys(k: int):  # noqa: ANN202
 
 
 def _crowded(hot: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """line: those of crowded keys that have an earlier partner. lines: line, doc_id, row, at, packed."""
-    state = hot.join(lines, "line").withColumn("gaps", F.lit(None).cast("array<bigint>")).select(*_STATE.names)
-    done = []
+    """line: those of crowded keys that have an earlier partner. lines: line, doc_id, row, at, packed.
+    The rows of a level are keys and places alone; texts join them for the next cut."""
+    texts = lines.select("line", "packed")
+    state, done = hot.withColumn("gaps", F.array().cast("array<bigint>")), []
     for level in range(LEVELS):
-        fine = common.checkpointed(state.mapInArrow(_refine(level == 0, k), common.ddl(_STATE)).distinct())
-        size = fine.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("listed"), F.max(~F.col("own")).alias("looking")).where("n > 1 and listed and looking")
-        size = common.checkpointed(size.select("key", "n"))
-        done.append(fine.join(size.where(f"n <= {CROWD}").select("key"), "key", "left_semi"))
-        state = fine.join(size.where(f"n > {CROWD}").select("key"), "key", "left_semi")
-        if size.where(f"n > {CROWD}").isEmpty():
+        fine = state.join(texts, "line").select(*_STATE.names, "packed").mapInArrow(_refine(level == 0, k), common.ddl(_STATE))
+        told = common.written(fine.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_classified, common.ddl(_SORTED_OUT)))
+        done.append(told.where("not crowded").select("key", "line", "own"))
+        state = told.where("crowded").select(*_STATE.names)
+        if state.isEmpty():
             break
     else:
-        done.append(state)
+        done.append(state.select("key", "line", "own"))
     whole = done[0]
     for x in done[1:]:
         whole = whole.unionByName(x)
-    return whole.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_keys(k), "line bigint")
+    beside = whole.distinct().join(lines, "line").select("key", "line", "own", "doc_id", "row", "at", "packed")
+    return beside.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_keys(k), "line bigint")
 
 
 _PACKED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary())])
@@ -386,7 +424,7 @@ def drops(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """row, at (number of a line of the row, from 0), near (whether for want of equality) of all
     lines that go. docs: doc_id, text."""
     common.ready(docs.sparkSession)
-    where = docs.mapInArrow(_where, common.ddl(_WHERE))
+    where = common.written(docs.mapInArrow(_where, common.ddl(_WHERE)))
     rank = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id"), F.col("row"), F.col("at"))
     firsts = common.written(where.groupBy("line").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).select("line", "first", (F.col("first") != F.col("last")).alias("many")))
     keys = docs.select("text").mapInArrow(_emit_keys(edits), common.ddl(_KEYS)).repartition("key").sortWithinPartitions("key")
