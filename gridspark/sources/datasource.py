@@ -25,7 +25,7 @@ from ..plans.tables import Column, Table, choose
 from .stores import open_store
 
 #: Decoded bytes of a partition, and partitions of a scan, about.
-PARTITION_BYTES, MOST_PARTITIONS = 32 << 20, 100_000
+PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 100_000
 
 
 @dataclass
