@@ -103,37 +103,44 @@ def _limits(quartile: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max("size").alias(f"{prefix}size"), *picks)
 
 
-def verdicts(measured: DataFrame) -> DataFrame:
-    """measured (already written, as it is read twice) with kept.
+def _keyed(measured: DataFrame) -> DataFrame:
+    return measured.withColumns({"_lang": F.coalesce("lang", F.lit("\x00")), "_source": F.coalesce("source", F.lit("\x00"))})
 
-    The limits are a row for each language and source; Spark broadcasts them only below its size
-    threshold, else both sides are shuffled and hot groups are split by the skew join."""
-    df = measured.withColumns({"_lang": F.coalesce("lang", F.lit("\x00")), "_source": F.coalesce("source", F.lit("\x00"))})
-    fine = sketches(df, ["_lang", "_source"])
+
+def limits(measured: DataFrame) -> DataFrame:
+    """_lang, _source and the low and high limit of each measure: a row for each language and source."""
+    fine = common.checkpointed(sketches(_keyed(measured), ["_lang", "_source"]))
     by_lang = merge(fine, ["_lang"])
     own = _limits(quartiles(fine, ["_lang", "_source"]), ["_lang", "_source"], "s_")
     lang = _limits(quartiles(by_lang, ["_lang"]), ["_lang"], "l_")
     everything = _limits(quartiles(merge(by_lang.withColumn("_all", F.lit(0)), ["_all"]), ["_all"]), ["_all"], "a_")
-    limits = own.join(lang, "_lang", "left").withColumn("_all", F.lit(0)).join(everything, "_all", "left")
+    joined = own.join(lang, "_lang", "left").withColumn("_all", F.lit(0)).join(everything, "_all", "left")
     chosen = {}
     for k in MEASURES:
         for side in ("low", "high"):
             chosen[f"{k}_{side}"] = F.when(F.col("s_size") >= LEAST, F.col(f"s_{k}_{side}")).when(F.col("l_size") >= LEAST, F.col(f"l_{k}_{side}")).otherwise(F.col(f"a_{k}_{side}"))
-    limits = limits.select(F.col("_lang"), F.col("_source"), *[c.alias(f"_{n}") for n, c in chosen.items()])
+    return joined.select(F.col("_lang"), F.col("_source"), *[c.alias(f"_{n}") for n, c in chosen.items()])
+
+
+def verdicts(measured: DataFrame, given: DataFrame) -> DataFrame:
+    """measured with kept, by the limits given.
+
+    Spark broadcasts the limits only below its size threshold; else both sides are shuffled and
+    hot groups are split by the skew join."""
     good = ~F.col("base_failed")
     for k, v in _ratios().items():
         good = good & (v <= F.col(f"_{k}_high"))
         if MEASURES[k][1]:
             good = good & (v >= F.col(f"_{k}_low"))
-    joined = df.join(limits, ["_lang", "_source"], "left")
+    joined = _keyed(measured).join(given, ["_lang", "_source"], "left")
     return joined.withColumn("kept", F.coalesce(good, F.lit(False))).select(*measured.columns, "kept")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every row of docs(doc_id, text, lang, source).
     Texts are read once; only narrow rows are written, shuffled and joined."""
-    measured = measures(common.need(docs, "doc_id", "text", "lang", "source")).drop("text")
-    return verdicts(common.checkpointed(measured))
+    measured = common.checkpointed(measures(common.need(docs, "doc_id", "text", "lang", "source")).drop("text"))
+    return verdicts(measured, limits(measured))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +151,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with their columns as they are. The texts, with their measures
     beside them, are written once, compressed, and read for the sketches (measures only) and the
-    verdict."""
+    verdict; without that cut the optimizer would inline the measures into every condition."""
     whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), "text", "lang", "source")
     measured = common.written(measures(whole).drop("text"))
-    return verdicts(measured).where("kept").select("_doc.*")
+    return verdicts(measured, limits(measured)).where("kept").select("_doc.*")
 
 
 #: The same rows for DuckDB: measures, sketches, quartiles and limits as above.
