@@ -33,8 +33,9 @@ from . import common
 from .suffixes import _row_key
 
 EDITS, LEAST = 2, 20
-#: A substring with more lines is cut again; a level of cutting takes two thirds of a string or less.
-CROWD, LEVELS = 48, 8
+#: Under a substring with up to CROWD lines pairs are made; with up to MOST its lines look for one
+#: earlier partner each, in one task; beyond that it is cut again, LEVELS times at most.
+CROWD, MOST, LEVELS = 48, 1500, 8
 Gap = tuple[int, int, int, int]  # start, end, edits left, length of the listed line's string there
 
 
@@ -287,7 +288,7 @@ def _refine(first: bool, k: int):  # noqa: ANN202
 
 def _classified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: those of keys under which lines can meet, and whether they are crowded.
-    Of a key, CROWD lines are held at most; once there are more its rows pass on as they come."""
+    Of a key, MOST lines are held at most; once there are more its rows pass on as they come."""
     held: list[tuple] = []
     lines: set[int] = set()
     key, crowded = None, False
@@ -309,7 +310,7 @@ def _classified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             held.append(row)
             lines.add(line)
-            if len(lines) > CROWD:
+            if len(lines) > MOST:
                 crowded = True
                 out += [(*r, True) for r in dict.fromkeys(held)]
                 held = []
@@ -331,11 +332,7 @@ def _verify_keys(k: int):  # noqa: ANN202
         members: list[dict] = []
 
         def settle() -> list[int]:
-            lines = {}
-            for x in members:
-                y = lines.setdefault(x["line"], [x, False, False])
-                y[1 if x["own"] else 2] = True
-            ranked = sorted(lines.values(), key=lambda y: _order(y[0]))
+            ranked = sorted(([x, x["own"], x["looks"]] for x in members), key=lambda y: _order(y[0]))
             texts = [press.decompress(y[0]["packed"], max_output_size=1 << 30).decode() for y in ranked]
             gone = []
             for i, y in enumerate(ranked):
@@ -363,20 +360,21 @@ def _crowded(hot: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     """line: those of crowded keys that have an earlier partner. lines: line, doc_id, row, at, packed.
     The rows of a level are keys and places alone; texts join them for the next cut."""
     texts = lines.select("line", "packed")
-    state, done = hot.withColumn("gaps", F.array().cast("array<bigint>")), []
-    for level in range(LEVELS):
-        fine = state.join(texts, "line").select(*_STATE.names, "packed").mapInArrow(_refine(level == 0, k), common.ddl(_STATE))
+    fine, done = hot.withColumn("gaps", F.array().cast("array<bigint>")).select(*_STATE.names), []
+    for level in range(LEVELS + 1):
         told = common.written(fine.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_classified, common.ddl(_SORTED_OUT)))
         done.append(told.where("not crowded").select("key", "line", "own"))
         state = told.where("crowded").select(*_STATE.names)
         if state.isEmpty():
             break
-    else:
-        done.append(state.select("key", "line", "own"))
+        if level == LEVELS:
+            done.append(state.select("key", "line", "own"))
+        fine = state.join(texts, "line").select(*_STATE.names, "packed").mapInArrow(_refine(level == 0, k), common.ddl(_STATE))
     whole = done[0]
     for x in done[1:]:
         whole = whole.unionByName(x)
-    beside = whole.distinct().join(lines, "line").select("key", "line", "own", "doc_id", "row", "at", "packed")
+    sides = whole.groupBy("key", "line").agg(F.max("own").alias("own"), F.max(~F.col("own")).alias("looks"))
+    beside = sides.join(lines, "line").select("key", "line", "own", "looks", "doc_id", "row", "at", "packed")
     return beside.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_keys(k), "line bigint")
 
 

@@ -71,9 +71,10 @@ def brute(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [48, 3])
+@pytest.mark.parametrize("crowd", [48, 3, 2])
 def test_against_brute_force(spark, docs_of, odd, crowd, monkeypatch):
     monkeypatch.setattr(lines, "CROWD", crowd)
+    monkeypatch.setattr(lines, "MOST", 1500 if crowd == 48 else 4 if crowd == 3 else 1500)
     rng = random.Random(9)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randint(21, 60))) for _ in range(12)]
     rows = [(d, t) for d, t in odd if d != 4] + [(100 + i, "\n".join(changed(base[0] if rng.random() < 0.4 else rng.choice(base), rng.choice([0, 0, 1, 2, 3, 5]), rng) if rng.random() < 0.9 else "short" for _ in range(rng.randint(0, 4)))) for i in range(110)]
