@@ -4,10 +4,12 @@ Every document gets measures (symbols a word, letters a word, the share of repea
 words in repeated 3-word windows). For each language and source a mergeable quantile sketch of
 every measure is built: counts of logarithmic buckets, so that a bucket's value is within
 ACCURACY of all it holds. Sketches merge by adding counts; sums do not depend on the order of
-rows, so results repeat exactly. A measure's limits are its quartiles widened by FENCE times
-their distance, or times a least spread where the quartiles lie closer; documents join the limits
-of their language and source. Groups of under LEAST documents use their language's merged
-sketch, or, if that is as small, the merged sketch of all.
+rows, so results repeat exactly. Word length has its quartiles, widened by FENCE times their
+distance, as limits. The other measures are nought for most documents, so that their quartiles say
+nothing: their limit is a high quantile of the sketch. Floors only keep the sketch's own error and
+single characters from deciding. Limits are shrunk by size: a group's count as its documents, its
+language's as LEAST, and likewise the language's towards those of all. Documents join the limits of
+their language and source.
 
 Nulls: a null text has no words and fails; null language or source form a group of their own.
 Empty texts fail the base rules. Empty tables give empty results. Ties and repeated rows are
@@ -24,8 +26,8 @@ from . import common
 SPACE = " \t\n\x0b\f\r"
 ACCURACY, FENCE, LEAST = 0.01, 3.0, 100
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: measure -> (least spread between the quartiles, whether values can be too low)
-MEASURES = {"symbol_ratio": (0.05, False), "word_length": (0.35, True), "dup_line_ratio": (0.15, False), "repeat_ratio": (0.15, False)}
+#: measure -> (share of the documents under the high limit, or None for fences about the quartiles; least high limit)
+MEASURES = {"symbol_ratio": (0.95, 0.01), "word_length": (None, 0.0), "dup_line_ratio": (0.98, 0.01), "repeat_ratio": (0.98, 0.01)}
 #: Values up to this count as nought in a sketch.
 NOUGHT = 1e-4
 
@@ -79,26 +81,32 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, size, q1, q3 of each sketch. The buckets of one group and measure come
+    """keys, measure, size, q1, q3, top (upper edge of the high quantile's bucket) of each sketch. The buckets of one group and measure come
     together in one array, a few hundred at most by their definition."""
     growth = (1 + ACCURACY) / (1 - ACCURACY)
     sums = sketch.groupBy(*keys, "measure").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct(F.coalesce("bucket", F.lit(-(1 << 30))).alias("b"), F.col("n").alias("n")))).alias("_s"))
 
-    def quantile(share: float) -> Column:
+    def bucket(share: float | Column) -> Column:
         need = F.ceil(F.col("size") * share)
         empty = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("b"))
         step = lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.when(a["b"].isNotNull(), a["b"]).when(a["sum"] + x["n"] >= need, x["b"]).alias("b"))
-        b = F.aggregate("_s", empty, step)["b"]
+        return F.aggregate("_s", empty, step)["b"]
+
+    def quantile(share: float) -> Column:
+        b = bucket(share)
         return F.when(b > -(1 << 30), 2 * F.pow(F.lit(growth), b) / (growth + 1)).otherwise(0.0)
 
-    return sums.withColumn("q1", quantile(0.25)).withColumn("q3", quantile(0.75)).drop("_s")
+    high = F.create_map(*[x for k, (share, _) in MEASURES.items() for x in (F.lit(k), F.lit(share or 0.75))])[F.col("measure")]
+    b = bucket(high)
+    top = F.when(b > -(1 << 30), F.pow(F.lit(growth), b)).otherwise(0.0)
+    return sums.withColumn("q1", quantile(0.25)).withColumn("q3", quantile(0.75)).withColumn("top", top).drop("_s")
 
 
 def _limits(quartile: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """One row a group: its size and the low and high limit of each measure."""
-    spread = F.create_map(*[x for k, (least, _) in MEASURES.items() for x in (F.lit(k), F.lit(least))])[F.col("measure")]
-    wide = F.greatest(F.col("q3") - F.col("q1"), spread) * FENCE
-    rows = quartile.select(*keys, "measure", "size", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    wide = F.greatest(F.col("q3") - F.col("q1"), 2 * ACCURACY * F.col("q3")) * FENCE
+    fenced = F.col("measure").isin([k for k, (share, _) in MEASURES.items() if share is None])
+    rows = quartile.select(*keys, "measure", "size", (F.col("q1") - wide).alias("low"), F.when(fenced, F.col("q3") + wide).otherwise(F.col("top")).alias("high"))
     picks = [F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{prefix}{k}_{side}") for k in MEASURES for side in ("low", "high")]
     return rows.groupBy(*keys).agg(F.max("size").alias(f"{prefix}size"), *picks)
 
@@ -118,7 +126,10 @@ def limits(measured: DataFrame) -> DataFrame:
     chosen = {}
     for k in MEASURES:
         for side in ("low", "high"):
-            chosen[f"{k}_{side}"] = F.when(F.col("s_size") >= LEAST, F.col(f"s_{k}_{side}")).when(F.col("l_size") >= LEAST, F.col(f"l_{k}_{side}")).otherwise(F.col(f"a_{k}_{side}"))
+            wider = (F.col("l_size") * F.col(f"l_{k}_{side}") + LEAST * F.col(f"a_{k}_{side}")) / (F.col("l_size") + LEAST)
+            own_side = (F.col("s_size") * F.col(f"s_{k}_{side}") + LEAST * wider) / (F.col("s_size") + LEAST)
+            # rounding must not put a limit under the equal limits it is made of
+            chosen[f"{k}_{side}"] = F.greatest(own_side * (1 + 1e-9), F.lit(MEASURES[k][1])) if side == "high" else own_side * (1 - 1e-9)
     return joined.select(F.col("_lang"), F.col("_source"), *[c.alias(f"_{n}") for n, c in chosen.items()])
 
 
@@ -130,7 +141,7 @@ def verdicts(measured: DataFrame, given: DataFrame) -> DataFrame:
     good = ~F.col("base_failed")
     for k, v in _ratios().items():
         good = good & (v <= F.col(f"_{k}_high"))
-        if MEASURES[k][1]:
+        if MEASURES[k][0] is None:
             good = good & (v >= F.col(f"_{k}_low"))
     joined = _keyed(measured).join(given, ["_lang", "_source"], "left")
     return joined.withColumn("kept", F.coalesce(good, F.lit(False))).select(*measured.columns, "kept")
@@ -157,7 +168,8 @@ def keep(docs: DataFrame) -> DataFrame:
     return verdicts(measured, limits(measured)).where("kept").select("_doc.*")
 
 
-#: The same rows for DuckDB: measures, sketches, quartiles and limits as above.
+#: For DuckDB: measures and sketches as above. Its limits are those of before quantiles were taken
+#: from the sketches (least spreads 0.05, 0.35, 0.15, 0.15), so its column kept differs.
 ORACLE_SQL = {
     "op7_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source FROM documents),

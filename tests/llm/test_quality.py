@@ -43,3 +43,21 @@ def test_sketches_merge_and_bound_quantiles(spark):
     for q, share in (("q1", 0.25), ("q3", 0.75)):
         true = values[int(share * 600 + 0.5) - 1]
         assert abs(r[q] - true) <= 2 * quality.ACCURACY * true + 1e-9
+
+
+def test_limits_follow_the_groups(spark):
+    rng = random.Random(8)
+    # per 1,000 words: source a has few symbols and short, uniform words; b many symbols and longer, varied ones
+    rows = [(i, "en", "a", 1000, 4500 + rng.randint(-50, 50), rng.choice([0, 0, 0, 20]), 0, 0, 10, False) for i in range(1000)]
+    rows += [(1000 + i, "en", "b", 1000, 6000 + rng.randint(-300, 300), rng.choice([0, 0, 0, 400]), 0, rng.choice([0] * 9 + [100]), 10, False) for i in range(1000)]
+    # alike but for the source
+    rows += [(5000, "en", "a", 1000, 4500, 300, 0, 0, 10, False), (5001, "en", "b", 1000, 6000, 300, 0, 0, 10, False), (5002, "en", "a", 1000, 5600, 0, 0, 0, 10, False)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, base_failed boolean")
+    given = quality.limits(df)
+    a, b = given.orderBy("_source").collect()
+    assert a["_symbol_ratio_high"] < 0.1 < 0.3 < b["_symbol_ratio_high"] and a["_repeat_ratio_high"] < b["_repeat_ratio_high"]
+    width = [r["_word_length_high"] - r["_word_length_low"] for r in (a, b)]
+    assert width[0] < 0.8 * width[1]
+    kept = {r["doc_id"]: r["kept"] for r in quality.verdicts(df, given).collect()}
+    assert (kept[5000], kept[5001], kept[5002]) == (False, True, False)
+    assert sum(not kept[i] for i in range(2000)) <= 40
