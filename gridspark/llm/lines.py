@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines, by a segment-partition edit join.
 
-Lines of LEAST code points or more are compared; shorter and blank ones always stay. Two lines are
-linked if they are equal or at most `edits` insertions, deletions and replacements apart. A line
+Blank lines always stay. Two lines are linked if they are equal, whatever their length, or if both
+have LEAST code points or more and are at most `edits` insertions, deletions and replacements apart. A line
 goes if an earlier line is linked with it; earlier is by doc_id (null last), then by place.
 
 Equal lines become one first. Of lines within k edits of each other, cut into k + 1 segments each,
@@ -123,7 +123,7 @@ _WHERE = pa.schema([("line", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int
 
 def _lines(text: str) -> Iterator[tuple[int, str]]:
     for n, line in enumerate(text.split("\n")):
-        if len(line) >= LEAST and not line.isspace():
+        if line and not line.isspace():
             yield n, line
 
 
@@ -144,6 +144,8 @@ def _emit_keys(k: int):  # noqa: ANN202
             out: tuple[list, list, list] = ([], [], [])
             for text in common.texts(b.column(0)):
                 for _, line in _lines(text):
+                    if len(line) < LEAST:  # such lines link by equality alone, which needs no keys
+                        continue
                     h = _hash(line)
                     if h in seen:
                         continue

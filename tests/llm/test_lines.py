@@ -85,3 +85,24 @@ def test_against_brute_force(spark, docs_of, odd, crowd, monkeypatch):
         assert out.columns == docs_of(rows).columns and out.where("n_chars != char_length(text)").count() == 0
         assert {r["doc_id"] for r in out.collect()} >= {1, 2, 3}
         assert lines.line_dedup(docs_of([])).count() == 0 and lines.line_dedup_digests(docs_of([])).count() == 0
+
+
+def test_equal_lines_of_any_length_go(spark, docs_of):
+    # split here without the module's help; short lines near each other stay
+    rows = [(1, "Read more\nx\n\n \nShare this"), (2, "Read more\nRead mores\n\n \nx"), (3, "one line of more than twenty letters\nShare this\nShare this"), (4, "x\none line of more than twenty lettersss")]
+    seen, want = [], {}
+    for d, t in rows:
+        kept, equal, near = [], 0, 0
+        for x in t.split("\n"):
+            if x.strip() and x in seen:
+                equal += 1
+            elif len(x) >= 20 and any(len(y) >= 20 and distance(x, y) <= 2 for y in seen):
+                near += 1
+            else:
+                kept.append(x)
+            seen.append(x)
+        want[d] = (len(t.split("\n")), equal, near, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    df = docs_of(rows)
+    assert {r[0]: tuple(r)[1:] for r in lines.line_dedup_digests(df).collect()} == want
+    assert [want[d][1:3] for d in (1, 2, 3, 4)] == [(0, 0), (2, 0), (2, 0), (1, 1)]
+    assert {r["doc_id"]: r["text"] for r in lines.line_dedup(df).collect()} == {1: rows[0][1], 2: "Read mores\n\n ", 3: "one line of more than twenty letters"}
