@@ -14,6 +14,7 @@ import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import testing as W
 from .plans.sqltext import sql
@@ -69,13 +70,17 @@ _STORES = {"lineitem": _lineitem, "embeddings": _embeddings, "orders": _orders,
 
 
 def store(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """The path of a table's store, written when first asked for."""
-    base = os.path.join(tempfile.gettempdir(), "gridspark-demo-" + hashlib.sha256(f"{os.getuid()} {sf_dir} 2".encode()).hexdigest()[:16])
+    """The path of a table's store, written when first asked for: in the shared folder of
+    spark.checkpoint.dir where that is a local path, named by the input's files, sizes and times."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    files = sorted(map(tuple, rows.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("double")).distinct().collect()))
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    base = os.path.join(shared if shared.startswith("/") else tempfile.gettempdir(), "gridspark-demo-" + hashlib.sha256(f"{os.getuid()} {sf_dir} {files} 3".encode()).hexdigest()[:16])
     path = os.path.join(base, f"{table}.zarr")
     if not os.path.exists(path):
         os.makedirs(base, exist_ok=True)
         made = tempfile.mkdtemp(dir=base)
-        _STORES[table](made, spark.read.parquet(f"{sf_dir}/{table}.parquet").toPandas())
+        _STORES[table](made, rows.toPandas())
         try:
             os.rename(made, path)
         except OSError:  # another process was first

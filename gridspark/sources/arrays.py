@@ -14,6 +14,7 @@ import numpy as np
 
 from ..errors import ZarrError
 from . import blosc
+from .stores import LocalStore
 
 #: Element types that can be read (fixed values), by numpy code.
 KINDS = {"bool": "b1", "int8": "i1", "int16": "i2", "int32": "i4", "int64": "i8", "uint8": "u1", "uint16": "u2", "uint32": "u4", "uint64": "u8", "float32": "f4", "float64": "f8"}
@@ -223,6 +224,10 @@ def read_chunk(store, meta: ArrayMeta, index: tuple[int, ...]) -> np.ndarray:  #
     clip = tuple(min(c, n - i * c) for i, c, n in zip(index, meta.chunks, meta.shape))
     dtype, data = meta.dtype(), store.get(meta.key(index))
     if data is None:
+        # a machine that doesn't see the store's folder must not take that for chunks never written
+        own = f"{meta.name}/{'.zarray' if meta.version == 2 else 'zarr.json'}"
+        if isinstance(store, LocalStore) and store.get(own) is None:
+            raise ZarrError(f"array '{meta.name}', chunk {index}: no '{own}' under '{store.root}' on this machine; local stores must be in a folder that all executors share")
         return np.full(clip, meta.fill_value(), dtype)
     try:
         whole = decode_v2(data, meta, dtype) if meta.version == 2 else decode_v3(data, meta.codecs, meta.chunks, dtype, meta.fill_value())

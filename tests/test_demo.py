@@ -32,3 +32,14 @@ def test_against_tables(spark, duck, name):
     names = sorted(df.columns)
     want = duck.execute(f"SELECT {', '.join(names)} FROM ({demo.oracle_sql()[name]})")
     assert plain(df.select(*names).collect()) == plain(want.fetchall())
+
+
+def test_other_rows_under_the_same_path_make_another_store(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    seen = []
+    for n in (20, 10):
+        rows.limit(n).write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+        spark.catalog.clearCache()
+        seen.append(demo.queries()["zarr_scan_array_alias"](spark, str(tmp_path)).collect()[0][0])
+    assert seen == [20, 10]
+    assert demo.store(spark, str(tmp_path), "embeddings").startswith(spark.conf.get("spark.checkpoint.dir"))

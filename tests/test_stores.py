@@ -328,3 +328,18 @@ def test_http_and_consolidated_metadata(spark, tmp_path):
     from gridspark.sources.stores import FileSystemStore
 
     assert FileSystemStore(f"file://{p}").array_names() == ["v", "x"]
+
+
+def test_a_store_out_of_sight_is_no_fill(tmp_path):
+    p = f"{tmp_path}/gone.zarr"
+    W.write_group(p)
+    W.write_array(p, "v", np.arange(4), ["x"], (2,), fill=7, skip=lambda at: at == (1,))
+    W.write_v2_group(f"{p}2")
+    W.write_v2_array(f"{p}2", "v", np.arange(4), ["x"], (2,))
+    for path, last in ((p, [7, 7]), (f"{p}2", [2, 3])):
+        store = open_store(path)
+        meta = tables.load_all(store)["v"]
+        assert arrays.read_chunk(store, meta, (1,)).tolist() == last
+        os.rename(path, f"{path}-away")
+        with pytest.raises(ZarrError, match="all executors share"):
+            arrays.read_chunk(store, meta, (1,))
