@@ -48,6 +48,32 @@ def test_against_brute_force(spark, docs_of, odd):
     assert minhash.near_duplicates(docs_of([])).count() == 0
 
 
+def test_dense_group_around_the_threshold(spark, docs_of, monkeypatch):
+    """One group whose pairs lie at 0.55 to 0.95: what the centres leave is told in small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=150)
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8, 9, 10])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(rows), words=4, percent=80).collect()}
+    want = brute(rows, 4, 80)
+    assert got == want and 20 < len(set(want.values())) < 140
+
+
+def test_one_document_of_two_texts(spark, docs_of):
+    rng = random.Random(4)
+    one, two = ([rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(80)] for _ in range(2))
+    near = lambda t, w: " ".join([*t[:-1], w])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one, "x")), (3, near(two, "y")), (4, " ".join(two)), (9, "some other words of a text")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(rows), words=4, percent=80).collect()}
+    assert got == brute(rows, 4, 80) == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8):
