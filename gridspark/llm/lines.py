@@ -7,10 +7,12 @@ goes if an earlier line is linked with it; earlier is by doc_id (null last), the
 Equal lines become one first. Of lines within k edits of each other, cut into k + 1 segments each,
 one segment of the shorter occurs unchanged in the longer, near its place: which places depends on
 the lengths alone. So every line is listed under its own segments, and looks under the substrings
-that could equal a segment of a line as long or up to k shorter. Where a substring is crowded, the
-strings left and right of the match, each with the edits that remain for it, are cut again, and so
-on; at the end each line looks for one earlier partner and stops. Candidates are verified by a
-bit-parallel edit distance on a band of diagonals.
+that could equal a segment of a line as long or up to k shorter. Keys are hashes of substrings, made
+for many lines at once from sums of powers. Where a substring is crowded, the strings left and right
+of the match, each with the edits that remain for it, are cut again, and so on; at the end each line
+looks for one earlier partner and stops. Keys still crowded after LEVELS cuts are dealt in blocks of
+later and earlier lines to separate tasks. Candidates are verified by a bit-parallel edit distance
+on a band of diagonals.
 
 Null texts stay null and empty texts empty. Rows equal in doc_id and text count as one row. Lines
 are known by a 64-bit hash. Texts are read whole.
@@ -30,12 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
+from .anchors import _mix, _power
 from .suffixes import _row_key
 
 EDITS, LEAST = 2, 20
 #: Under a substring with up to CROWD lines pairs are made; with up to MOST its lines look for one
 #: earlier partner each, in one task; beyond that it is cut again, LEVELS times at most.
 CROWD, MOST, LEVELS = 48, 1500, 8
+#: Code points whose keys are made at a time; rows of sorted keys that a task holds, about.
+LOT, HELD = 1 << 20, 50_000
 Gap = tuple[int, int, int, int]  # start, end, edits left, length of the listed line's string there
 
 
@@ -127,21 +132,61 @@ def _lines(text: str) -> Iterator[tuple[int, str]]:
             yield n, line
 
 
+def _lookups(n: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """`cut` and `places` for all lengths n at once: for each number of the segment and each place,
+    which of the lines have it, length and segment start of the other line, its number, place, size."""
+    for more in range(k + 1):
+        other = n - more
+        short, long = other // (k + 1), other % (k + 1)
+        for i in range(k + 1):
+            extra = i - (k + 1 - long)
+            p, size = i * short + np.maximum(extra, 0), short + (extra >= 0)
+            low = np.maximum(np.maximum(p - i, p + more - (k - i)), 0)
+            high = np.minimum(np.minimum(p + i, p + more + (k - i)), n - size)
+            for t in range(2 * k + 1):
+                at = low + t
+                rows = np.flatnonzero((at <= high) & (other >= LEAST))
+                if not len(rows):
+                    break
+                yield rows, other[rows], p[rows], np.full(len(rows), i), at[rows], size[rows]
+
+
+def _keys(lines: list[str], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys of the lines: rows, key, own, and the other's length and segment start, the place, the
+    size. An own key is both listed and looked under; others are looked under."""
+    lengths = np.array([len(x) for x in lines], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = _power(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_mix((codes + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) * up[: len(codes)], out=sums[1:])
+    start = np.cumsum(lengths) - lengths
+    for rows, other, p, i, at, size in _lookups(lengths, k):
+        a = start[rows] + at
+        h = _mix((sums[a + size] - sums[a]) * down[a])
+        key = _mix(h + (other * 16 + i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        yield rows, key, (other == lengths[rows]) & (at == p), other, p, i, at, size
+
+
 def line_keys(line: str, k: int) -> Iterator[tuple[int, bool]]:
     """Keys a line is listed under (own) and looks under."""
-    n = len(line)
-    for i, (p, size) in enumerate(cut(n, k + 1)):
-        yield _hash(line[p : p + size], n * 16 + i), True
-    for other in range(max(LEAST, n - k), n + 1):
-        for i, p, size in places(n, other, k):
-            yield _hash(line[p : p + size], other * 16 + i), False
+    for _, key, own, *_ in _keys([line], k):
+        yield int(key[0]), False
+        if own[0]:
+            yield int(key[0]), True
 
 
 def _emit_keys(k: int):  # noqa: ANN202
+    def emit(hashes: list[int], lines: list[str]) -> pa.RecordBatch:
+        line = np.array(hashes, np.int64)
+        found = [(key, line[rows], own) for rows, key, own, *_ in _keys(lines, k)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=_KEYS)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hashes: list[int] = []
+        lines: list[str] = []
+        size = 0
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
             for text in common.texts(b.column(0)):
                 for _, line in _lines(text):
                     if len(line) < LEAST:  # such lines link by equality alone, which needs no keys
@@ -152,11 +197,14 @@ def _emit_keys(k: int):  # noqa: ANN202
                     if len(seen) > 400_000:
                         seen.clear()
                     seen.add(h)
-                    for key, own in line_keys(line, k):
-                        out[0].append(key)
-                        out[2].append(own)
-                    out[1].extend([h] * (len(out[0]) - len(out[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], schema=_KEYS)
+                    hashes.append(h)
+                    lines.append(line)
+                    size += len(line)
+                    if size >= LOT:
+                        yield emit(hashes, lines)
+                        hashes, lines, size = [], [], 0
+        if lines:
+            yield emit(hashes, lines)
 
     return run
 
@@ -178,46 +226,71 @@ def _where(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("own", pa.bool_())])
 
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys come sorted. A key under which one line alone is listed and looks has nothing."""
-    held: list[np.ndarray] = []
-
+def _meet(crowd_size: int, most_held: int):  # noqa: ANN202
+    """Keys come sorted. A key under which one line alone is listed and looks has nothing. Of a key,
+    most_held rows are held or so; with more it is crowded, and its rows pass on as they come."""
     def settle(key: np.ndarray, line: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        end = np.concatenate([begin[1:], [len(key)]])
-        some = (end - begin > 1) & np.logical_or.reduceat(own, begin)
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for a, z in zip(begin[some], end[some]):
-            listed, looking = set(line[a:z][own[a:z]].tolist()), set(line[a:z][~own[a:z]].tolist())
-            everyone = listed | looking
+        size = np.diff(np.concatenate([begin, [len(key)]]))
+        listed = np.logical_or.reduceat(own, begin)
+        two = begin[listed & (size == 2)]
+        two = two[line[two] != line[two + 1]]
+        pairs = [np.minimum(line[two], line[two + 1])], [np.maximum(line[two], line[two + 1])]
+        hot: tuple[list, list, list] = ([], [], [])
+        for a, n in zip(begin[listed & (size > 2)].tolist(), size[listed & (size > 2)].tolist()):
+            everyone = np.unique(line[a : a + n])
             if len(everyone) < 2:
                 continue
-            if len(everyone) <= CROWD:
-                pairs = {(min(x, y), max(x, y)) for x in listed for y in looking if x != y}
-                out[0].extend([None] * len(pairs))
-                out[1].extend(p[0] for p in pairs)
-                out[2].extend(p[1] for p in pairs)
-                out[3].extend([False] * len(pairs))
+            mine = np.unique(line[a : a + n][own[a : a + n]])
+            if len(everyone) <= crowd_size:
+                x, y = np.repeat(mine, len(everyone)), np.tile(everyone, len(mine))
+                differ = (x != y) & ((x < y) | ~np.isin(y, mine))
+                pairs[0].append(np.minimum(x, y)[differ])
+                pairs[1].append(np.maximum(x, y)[differ])
             else:
-                for lines, mine in ((listed, True), (looking, False)):
-                    out[0].extend([int(key[a])] * len(lines))
-                    out[1].extend(lines)
-                    out[2].extend([None] * len(lines))
-                    out[3].extend([mine] * len(lines))
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _MET)], schema=_MET)
+                hot[0].append(np.full(len(mine) + len(everyone), key[a]))
+                hot[1].extend([mine, everyone])
+                hot[2].extend([np.ones(len(mine), bool), np.zeros(len(everyone), bool)])
+        a, b = (np.concatenate(x) for x in pairs)
+        none = pa.nulls(len(a), pa.int64())
+        crowded = _hot(*(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(hot, (np.int64, np.int64, bool))))
+        met = pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], schema=_MET)
+        return pa.Table.from_batches([met, crowded]).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if len(a) + len(crowded) else met
+
+    def _hot(key: np.ndarray, line: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(line, pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(own, pa.bool_())], schema=_MET)
+
+    def passed(key: np.ndarray, line: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        """Rows of a crowded key; those listed look too."""
+        return _hot(np.concatenate([key, key[own]]), np.concatenate([line, line[own]]), np.concatenate([np.zeros(len(key), bool), np.ones(int(own.sum()), bool)]))
 
-    for b in batches:
-        if not len(b):
-            continue
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)))
-        if sum(len(x[0]) for x in held) >= 50_000:
-            key, line, own = (np.concatenate(x) for x in zip(*held))
-            stop = int(np.searchsorted(key, key[-1]))
-            if stop:
-                yield settle(key[:stop], line[:stop], own[:stop])
-            held = [(key[stop:], line[stop:], own[stop:])]
-    if held:
-        yield settle(*(np.concatenate(x) for x in zip(*held)))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        crowd: int | None = None
+        for b in batches:
+            rows = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False))
+            if crowd is not None:
+                stop = int(np.searchsorted(rows[0], crowd, "right"))
+                if stop:
+                    yield passed(*(x[:stop] for x in rows))
+                    rows = tuple(x[stop:] for x in rows)
+            if not len(rows[0]):
+                continue
+            crowd = None
+            held.append(rows)
+            if sum(len(x[0]) for x in held) >= most_held:
+                key, line, own = (np.concatenate(x) for x in zip(*held))
+                stop = int(np.searchsorted(key, key[-1]))
+                if stop:
+                    yield settle(key[:stop], line[:stop], own[:stop])
+                    held = [(key[stop:], line[stop:], own[stop:])]
+                else:
+                    yield passed(key, line, own)
+                    held, crowd = [], int(key[0])
+        if held:
+            yield settle(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
 
 
 # --- crowded keys ---------------------------------------------------------------------------
@@ -226,20 +299,15 @@ _STATE = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("own", pa.bool_(
 _SORTED_OUT = pa.schema([*_STATE, ("crowded", pa.bool_())])
 
 
-def first_gaps(line: str, key: int, own: bool, k: int) -> Iterator[list[Gap]]:
-    """How the line can have come by the key: the strings beside the match and their edits."""
-    n = len(line)
-    if own:
-        for i, (p, size) in enumerate(cut(n, k + 1)):
-            if _hash(line[p : p + size], n * 16 + i) == key:
-                yield [(0, p, i, p), (p + size, n, k - i, n - p - size)]
-        return
-    for other in range(max(LEAST, n - k), n + 1):
-        segments = cut(other, k + 1)
-        for i, at, size in places(n, other, k):
-            if _hash(line[at : at + size], other * 16 + i) == key:
-                p = segments[i][0]
-                yield [(0, at, i, p), (at + size, n, k - i, other - p - size)]
+def first_gaps(lines: list[str], keys: list[int], own: list[bool], k: int) -> list[list[list[Gap]]]:
+    """For each line, how it can have come by the key: the strings beside the match and their edits."""
+    found: list[list[list[Gap]]] = [[] for _ in lines]
+    asked, listed = np.array(keys, np.int64), np.array(own, bool)
+    for rows, key, mine, other, p, i, at, size in _keys(lines, k):
+        for t in np.flatnonzero((key == asked[rows]) & (mine | ~listed[rows])):
+            r, o, p_, i_, a, z = (int(x[t]) for x in (rows, other, p, i, at, size))
+            found[r].append([(0, a, i_, p_), (a + z, len(lines[r]), k - i_, o - p_ - z)])
+    return found
 
 
 def finer(line: str, key: int, own: bool, gaps: list[Gap]) -> Iterator[tuple[int, list[Gap]]]:
@@ -276,11 +344,14 @@ def _refine(first: bool, k: int):  # noqa: ANN202
         press = zstandard.ZstdDecompressor()
         for b in batches:
             rows: dict = {}
-            for x in b.to_pylist():
-                line = press.decompress(x["packed"], max_output_size=1 << 30).decode()
-                flat = x["gaps"] or []
-                starts = first_gaps(line, x["key"], x["own"], k) if first else [[tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]]
-                for gaps in starts:
+            given = b.to_pylist()
+            lines = [press.decompress(x["packed"], max_output_size=1 << 30).decode() for x in given]
+            if first:
+                starts = first_gaps(lines, [x["key"] for x in given], [x["own"] for x in given], k) if lines else []
+            else:
+                starts = [[[tuple(x["gaps"][i : i + 4]) for i in range(0, len(x["gaps"] or []), 4)]] for x in given]
+            for x, line, start in zip(given, lines, starts):
+                for gaps in start:
                     for key, left in finer(line, x["key"], x["own"], gaps):
                         rows[key, x["line"], x["own"], tuple(left)] = None
             yield common.batch(_STATE, {"key": [r[0] for r in rows], "line": [r[1] for r in rows], "own": [r[2] for r in rows], "gaps": [[v for g in r[3] for v in g] for r in rows]})
@@ -288,38 +359,42 @@ def _refine(first: bool, k: int):  # noqa: ANN202
     return run
 
 
-def _classified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classified(most: int):  # noqa: ANN202
     """Rows sorted by key: those of keys under which lines can meet, and whether they are crowded.
-    Of a key, MOST lines are held at most; once there are more its rows pass on as they come."""
-    held: list[tuple] = []
-    lines: set[int] = set()
-    key, crowded = None, False
+    Of a key, `most` lines are held at most; once there are more its rows pass on as they come."""
 
-    def settle() -> list[tuple]:
-        if crowded or len(lines) < 2 or not any(r[2] for r in held) or all(r[2] for r in held):
-            return []
-        return [(*r, False) for r in dict.fromkeys(held)]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        lines: set[int] = set()
+        key, crowded = None, False
 
-    for b in batches:
-        out: list[tuple] = []
-        for k, line, own, gaps in zip(*(c.to_pylist() for c in b.columns)):
-            if k != key:
-                out += settle()
-                held, lines, key, crowded = [], set(), k, False
-            row = (k, line, own, tuple(gaps))
-            if crowded:
-                out.append((*row, True))
-                continue
-            held.append(row)
-            lines.add(line)
-            if len(lines) > MOST:
-                crowded = True
-                out += [(*r, True) for r in dict.fromkeys(held)]
-                held = []
-        yield common.batch(_SORTED_OUT, {f.name: [list(r[i]) if i == 3 else r[i] for r in out] for i, f in enumerate(_SORTED_OUT)})
-    out = settle()
-    if out:
-        yield common.batch(_SORTED_OUT, {f.name: [list(r[i]) if i == 3 else r[i] for r in out] for i, f in enumerate(_SORTED_OUT)})
+        def settle() -> list[tuple]:
+            if crowded or len(lines) < 2 or not any(r[2] for r in held) or all(r[2] for r in held):
+                return []
+            return [(*r, False) for r in dict.fromkeys(held)]
+
+        for b in batches:
+            out: list[tuple] = []
+            for k, line, own, gaps in zip(*(c.to_pylist() for c in b.columns)):
+                if k != key:
+                    out += settle()
+                    held, lines, key, crowded = [], set(), k, False
+                row = (k, line, own, tuple(gaps))
+                if crowded:
+                    out.append((*row, True))
+                    continue
+                held.append(row)
+                lines.add(line)
+                if len(lines) > most:
+                    crowded = True
+                    out += [(*r, True) for r in dict.fromkeys(held)]
+                    held = []
+            yield common.batch(_SORTED_OUT, {f.name: [list(r[i]) if i == 3 else r[i] for r in out] for i, f in enumerate(_SORTED_OUT)})
+        out = settle()
+        if out:
+            yield common.batch(_SORTED_OUT, {f.name: [list(r[i]) if i == 3 else r[i] for r in out] for i, f in enumerate(_SORTED_OUT)})
+
+    return run
 
 
 def _order(x: dict) -> tuple:
@@ -327,27 +402,30 @@ def _order(x: dict) -> tuple:
 
 
 def _verify_keys(k: int):  # noqa: ANN202
-    """Rows sorted by key: lines that have an earlier partner under their key."""
+    """Rows sorted by key, i, j (blocks of later and earlier lines): lines that have an earlier partner."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         members: list[dict] = []
 
         def settle() -> list[int]:
-            ranked = sorted(([x, x["own"], x["looks"]] for x in members), key=lambda y: _order(y[0]))
-            texts = [press.decompress(y[0]["packed"], max_output_size=1 << 30).decode() for y in ranked]
+            ranked = sorted(members, key=_order)
+            texts = [press.decompress(y["packed"], max_output_size=1 << 30).decode() for y in ranked]
             gone = []
             for i, y in enumerate(ranked):
+                if not y["late"]:
+                    continue
                 for j in range(i):
-                    if (y[1] and ranked[j][2] or y[2] and ranked[j][1]) and within(texts[i], texts[j], k):
-                        gone.append(y[0]["line"])
+                    x = ranked[j]
+                    if x["early"] and x["line"] != y["line"] and (y["own"] and x["looks"] or y["looks"] and x["own"]) and within(texts[i], texts[j], k):
+                        gone.append(y["line"])
                         break
             return gone
 
         for b in batches:
             gone: list[int] = []
             for x in b.to_pylist():
-                if members and members[-1]["key"] != x["key"]:
+                if members and any(members[-1][c] != x[c] for c in ("key", "i", "j")):
                     gone += settle()
                     members = []
                 members.append(x)
@@ -363,21 +441,29 @@ def _crowded(hot: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     The rows of a level are keys and places alone; texts join them for the next cut."""
     texts = lines.select("line", "packed")
     fine, done = hot.withColumn("gaps", F.array().cast("array<bigint>")).select(*_STATE.names), []
+    blocks = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(True).alias("late"), F.lit(True).alias("early")))
+    sided = lambda df: df.groupBy("key", "line").agg(F.max("own").alias("own"), F.max(~F.col("own")).alias("looks"))
     for level in range(LEVELS + 1):
-        told = common.written(fine.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_classified, common.ddl(_SORTED_OUT)))
-        done.append(told.where("not crowded").select("key", "line", "own"))
+        told = common.written(fine.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_classified(MOST), common.ddl(_SORTED_OUT)))
+        done.append(sided(told.where("not crowded")).withColumn("_b", blocks))
         state = told.where("crowded").select(*_STATE.names)
         if state.isEmpty():
             break
-        if level == LEVELS:
-            done.append(state.select("key", "line", "own"))
+        if level == LEVELS:  # what eight cuts leave together: every block of later lines meets every block of earlier ones
+            left = common.checkpointed(sided(state))
+            many = left.groupBy("key").agg(F.ceil(F.count("*") / MOST).alias("nb"))
+            each = F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)
+            mine = F.pmod(F.xxhash64("line"), "nb")
+            place = lambda i, j, late: F.struct(i.alias("i"), j.alias("j"), F.lit(late).alias("late"), F.lit(not late).alias("early"))
+            spread = F.concat(F.transform(each, lambda j: place(mine, j, True)), F.transform(each, lambda i: place(i, mine, False)))
+            done.append(left.join(many, "key").withColumn("_b", spread).select("key", "line", "own", "looks", "_b"))
+            break
         fine = state.join(texts, "line").select(*_STATE.names, "packed").mapInArrow(_refine(level == 0, k), common.ddl(_STATE))
     whole = done[0]
     for x in done[1:]:
         whole = whole.unionByName(x)
-    sides = whole.groupBy("key", "line").agg(F.max("own").alias("own"), F.max(~F.col("own")).alias("looks"))
-    beside = sides.join(lines, "line").select("key", "line", "own", "looks", "doc_id", "row", "at", "packed")
-    return beside.repartition("key").sortWithinPartitions("key").mapInArrow(_verify_keys(k), "line bigint")
+    beside = whole.withColumn("_b", F.explode("_b")).join(lines, "line").select("key", "_b.i", "_b.j", "_b.late", "_b.early", "line", "own", "looks", "doc_id", "row", "at", "packed")
+    return beside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify_keys(k), "line bigint")
 
 
 _PACKED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary())])
@@ -428,7 +514,7 @@ def drops(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id"), F.col("row"), F.col("at"))
     firsts = common.written(where.groupBy("line").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).select("line", "first", (F.col("first") != F.col("last")).alias("many")))
     keys = docs.select("text").mapInArrow(_emit_keys(edits), common.ddl(_KEYS)).repartition("key").sortWithinPartitions("key")
-    met = common.written(keys.mapInArrow(_meet, common.ddl(_MET)))
+    met = common.written(keys.mapInArrow(_meet(CROWD, HELD), common.ddl(_MET)))
     pairs = met.where("key is null").select("a", "b").distinct()
     hot = met.where("key is not null").select("key", F.col("a").alias("line"), "own").distinct()
     involved = met.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct()
@@ -442,7 +528,8 @@ def drops(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     if not hot.isEmpty():
         near = near.unionByName(_crowded(hot, known, edits))
     near = near.distinct().withColumn("near", F.lit(True))
-    verdict = firsts.join(near, "line", "left").where("many or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # written, so that the join below deals both sides anew and a skew join can split a common line
+    verdict = common.written(firsts.join(near, "line", "left").where("many or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near")))
     here = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id"), F.col("row"), F.col("at"))
     return where.join(verdict, "line").withColumn("lead", here == F.col("first")).where("near or not lead").select("row", "at", (F.col("near") & F.col("lead")).alias("near"))
 

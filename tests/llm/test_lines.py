@@ -87,6 +87,19 @@ def test_against_brute_force(spark, docs_of, odd, crowd, monkeypatch):
         assert lines.line_dedup(docs_of([])).count() == 0 and lines.line_dedup_digests(docs_of([])).count() == 0
 
 
+def test_lines_together_after_all_cuts(spark, docs_of, odd, monkeypatch):
+    """Without cuts, crowded keys are dealt in blocks of four lines or so."""
+    monkeypatch.setattr(lines, "CROWD", 2)
+    monkeypatch.setattr(lines, "MOST", 4)
+    monkeypatch.setattr(lines, "LEVELS", 0)
+    monkeypatch.setattr(lines, "HELD", 30)
+    rng = random.Random(19)
+    base = ["".join(rng.choices("abcdefgh ", k=rng.randint(21, 60))) for _ in range(3)]
+    rows = [(d, t) for d, t in odd if d != 4] + [(100 + i, "\n".join(changed(rng.choice(base), rng.choice([0, 1, 2, 3, 5]), rng) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    got = sorted(map(tuple, lines.line_dedup_digests(docs_of(rows)).collect()), key=str)
+    assert got == brute(rows, 2) and sum(r[3] for r in got) > 20
+
+
 def test_equal_lines_of_any_length_go(spark, docs_of):
     # split here without the module's help; short lines near each other stay
     rows = [(1, "Read more\nx\n\n \nShare this"), (2, "Read more\nRead mores\n\n \nx"), (3, "one line of more than twenty letters\nShare this\nShare this"), (4, "x\none line of more than twenty lettersss")]
