@@ -168,8 +168,7 @@ def keep(docs: DataFrame) -> DataFrame:
     return verdicts(measured, limits(measured)).where("kept").select("_doc.*")
 
 
-#: For DuckDB: measures and sketches as above. Its limits are those of before quantiles were taken
-#: from the sketches (least spreads 0.05, 0.35, 0.15, 0.15), so its column kept differs.
+#: The same rows for DuckDB: measures, sketches, quantiles and limits as above.
 ORACLE_SQL = {
     "op7_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source FROM documents),
@@ -182,15 +181,17 @@ lines AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup, count(*) AS n_lines FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
 m AS (SELECT r, doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat, 0) AS n_repeat FROM d JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN dup USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat > 50 * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS nw FROM m),
-v AS (SELECT r, lang, source, unnest([{'k': 'symbol_ratio', 'v': n_symbols / nw, 'least': 0.05::DOUBLE, 'low': false}, {'k': 'word_length', 'v': word_chars / nw, 'least': 0.35::DOUBLE, 'low': true}, {'k': 'dup_line_ratio', 'v': n_dup / greatest(n_lines, 1)::DOUBLE, 'least': 0.15::DOUBLE, 'low': false}, {'k': 'repeat_ratio', 'v': n_repeat / nw, 'least': 0.15::DOUBLE, 'low': false}]) AS x FROM f WHERE NOT base_failed),
-b AS (SELECT lang, source, x.k AS k, any_value(x.least) AS least, CASE WHEN x.v > 1e-4 THEN ceil(ln(x.v) / ln(1.01::DOUBLE / 0.99::DOUBLE))::INT ELSE -1000000 END AS b, count(*) AS n FROM v GROUP BY lang, source, x.k, 5),
-g AS (SELECT 3 - (lang IS NULL)::INT - (source IS NULL)::INT AS fine, lang, source, k, least, b, n FROM (SELECT lang, source, k, any_value(least) AS least, b, sum(n) AS n FROM b GROUP BY GROUPING SETS ((lang, source, k, b), (lang, k, b), (k, b)))),
-c AS (SELECT *, sum(n) OVER (PARTITION BY fine, lang, source, k ORDER BY b) AS upto, sum(n) OVER (PARTITION BY fine, lang, source, k) AS size FROM g),
-q AS (SELECT fine, lang, source, k, any_value(least) AS least, any_value(size) AS size, min(b) FILTER (WHERE upto >= ceil(size * 0.25)) AS b1, min(b) FILTER (WHERE upto >= ceil(size * 0.75)) AS b3 FROM c GROUP BY fine, lang, source, k),
-p AS (SELECT *, CASE WHEN b1 > -1000000 THEN 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b1) / (1.01::DOUBLE / 0.99::DOUBLE + 1) ELSE 0 END AS q1, CASE WHEN b3 > -1000000 THEN 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b3) / (1.01::DOUBLE / 0.99::DOUBLE + 1) ELSE 0 END AS q3 FROM q),
-l AS (SELECT fine, lang, source, k, size, q1 - greatest(q3 - q1, least) * 3 AS low, q3 + greatest(q3 - q1, least) * 3 AS high FROM p),
-j AS (SELECT v.r, bool_and(x.v <= CASE WHEN s.size >= 100 THEN s.high WHEN a.size >= 100 THEN a.high ELSE e.high END AND (NOT x.low OR x.v >= CASE WHEN s.size >= 100 THEN s.low WHEN a.size >= 100 THEN a.low ELSE e.low END)) AS good
-  FROM v JOIN l s ON s.fine = 3 AND s.lang = v.lang AND s.source = v.source AND s.k = x.k JOIN l a ON a.fine = 2 AND a.lang = v.lang AND a.k = x.k JOIN l e ON e.fine = 1 AND e.k = x.k GROUP BY v.r)
+v AS (SELECT r, lang, source, unnest([{'k': 'symbol_ratio', 'v': n_symbols / nw}, {'k': 'word_length', 'v': word_chars / nw}, {'k': 'dup_line_ratio', 'v': n_dup / greatest(n_lines, 1)::DOUBLE}, {'k': 'repeat_ratio', 'v': n_repeat / nw}]) AS x FROM f WHERE NOT base_failed),
+share(k, part, least, fenced) AS (VALUES ('symbol_ratio', 0.95::DOUBLE, 0.01::DOUBLE, false), ('word_length', 0.75, 0.0, true), ('dup_line_ratio', 0.98, 0.01, false), ('repeat_ratio', 0.98, 0.01, false)),
+b AS (SELECT lang, source, x.k AS k, CASE WHEN x.v > 1e-4 THEN ceil(ln(x.v) / ln(1.01::DOUBLE / 0.99::DOUBLE))::INT ELSE -1000000 END AS b, count(*) AS n FROM v GROUP BY lang, source, x.k, 4),
+g AS (SELECT 3 - (lang IS NULL)::INT - (source IS NULL)::INT AS fine, lang, source, k, b, n FROM (SELECT lang, source, k, b, sum(n) AS n FROM b GROUP BY GROUPING SETS ((lang, source, k, b), (lang, k, b), (k, b)))),
+c AS (SELECT *, sum(n) OVER (PARTITION BY fine, lang, source, k ORDER BY b) AS upto, sum(n) OVER (PARTITION BY fine, lang, source, k) AS size FROM g JOIN share USING (k)),
+q AS (SELECT fine, lang, source, k, any_value(fenced) AS fenced, any_value(size)::DOUBLE AS size, min(b) FILTER (WHERE upto >= ceil(size * 0.25::DOUBLE)) AS b1, min(b) FILTER (WHERE upto >= ceil(size * 0.75::DOUBLE)) AS b3, min(b) FILTER (WHERE upto >= ceil(size * part)) AS bt FROM c GROUP BY fine, lang, source, k),
+p AS (SELECT *, 1.01::DOUBLE / 0.99::DOUBLE AS growth, CASE WHEN b1 > -1000000 THEN 2 * pow(growth, b1) / (growth + 1) ELSE 0 END AS q1, CASE WHEN b3 > -1000000 THEN 2 * pow(growth, b3) / (growth + 1) ELSE 0 END AS q3, CASE WHEN bt > -1000000 THEN pow(growth, bt) ELSE 0 END AS top FROM q),
+l AS (SELECT fine, lang, source, k, size, q1 - greatest(q3 - q1, 0.02::DOUBLE * q3) * 3 AS low, CASE WHEN fenced THEN q3 + greatest(q3 - q1, 0.02::DOUBLE * q3) * 3 ELSE top END AS high FROM p),
+o AS (SELECT s.lang, s.source, s.k, (s.size * s.low + 100 * ((a.size * a.low + 100 * e.low) / (a.size + 100))) / (s.size + 100) * (1 - 1e-9::DOUBLE) AS low, greatest((s.size * s.high + 100 * ((a.size * a.high + 100 * e.high) / (a.size + 100))) / (s.size + 100) * (1 + 1e-9::DOUBLE), share.least) AS high, share.fenced
+  FROM l s JOIN l a ON a.fine = 2 AND a.lang = s.lang AND a.k = s.k JOIN l e ON e.fine = 1 AND e.k = s.k JOIN share ON share.k = s.k WHERE s.fine = 3),
+j AS (SELECT v.r, bool_and(x.v <= o.high AND (NOT o.fenced OR x.v >= o.low)) AS good FROM v JOIN o ON o.lang = v.lang AND o.source = v.source AND o.k = x.k GROUP BY v.r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words, base_failed, coalesce(good, false) AS kept FROM f LEFT JOIN j USING (r)
 """
 }
