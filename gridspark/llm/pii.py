@@ -1,11 +1,13 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds spans.
 
 The base spans of each kind are those of its pattern, leftmost and not overlapping, less those
-that fail the kind's check. The field labels the tokens around digits, @ and the word "dot" by
-features of their shapes, and adds spans that overlap no base span: numbers in local notation,
-addresses written out in words. It is trained, when first used, on a small labelled table that
-LABELLED's rules spell out, and decoded by Viterbi over numpy batches of many windows. Its
-parameters are a fixed few hundred KB, whatever the data.
+that fail the kind's check. The field labels tokens by features of their shapes and adds spans
+that overlap no base span: numbers in local notation, addresses written out in words. Tokens
+further than REACH from a digit, an @ or the word "dot" have the label O by the model's definition;
+so the chain falls into windows that can be decoded apart, with O on either side, and the result is
+that of decoding the whole text. The field is trained, when first used, on a small labelled table
+that the rules of `labelled` spell out, and decoded by Viterbi over numpy batches of many windows.
+Its parameters are a fixed few hundred KB, whatever the data.
 
 Null texts count as empty and have no spans; so do empty texts. Repeated rows repeat. Texts of
 any length are read whole, in time that grows with their length. Positions are code points, ends
@@ -97,6 +99,36 @@ def _shape(t: str) -> str:
     return t
 
 
+#: Features of a token; what may stand between the groups of one number, and how much of it.
+WIDTH, _JOINS, _BETWEEN = 13, frozenset(" ().-/_[]+"), 3
+
+
+def _runs(found: list[str]) -> list[tuple[str, str, int]]:
+    """For each token of a run of digit groups the lengths of the groups, a coarser form of them and
+    the token's place in the run; the separator does not matter. Others have empty ones."""
+    out = [("", "", 0)] * len(found)
+    i = 0
+    while i < len(found):
+        if not found[i].isdecimal():
+            i += 1
+            continue
+        end, groups, t = i + 1, [i], i + 1
+        while t < len(found) and t - end <= _BETWEEN and (found[t].isdecimal() or found[t] in _JOINS):
+            if found[t].isdecimal():
+                groups.append(t)
+                end = t + 1
+            t += 1
+        sizes = [len(found[g]) for g in groups]
+        shape = "-".join(map(str, sizes)) if len(groups) < 7 else "many"
+        coarse = f"{min(len(groups), 7)}{'s' if max(sizes) < 4 else ''}/{min(sum(sizes), 20)}"
+        k = 0
+        for t in range(i, end):
+            k += t in groups
+            out[t] = (shape, coarse, min(k, 7) * 2 + (t in groups))
+        i = end
+    return out
+
+
 def features(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
     """Places of the tokens and the word-shape features of each."""
     found = list(_TOKEN.finditer(text))
@@ -104,56 +136,85 @@ def features(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
     shapes = ["<", "<", *(_shape(m[0]) for m in found), ">", ">"]
     gaps = ["g", "g", *("g" if i == 0 or places[i - 1][1] < a else "" for i, (a, _) in enumerate(places)), "g", "g", "g"]
     out = []
+    runs = _runs([m[0] for m in found])
     for i in range(len(places)):
         k = i + 2
+        shape, coarse, at = runs[i]
         a, b, c, d, e = shapes[k - 2 : k + 3]
         gb, gd, ge = gaps[k], gaps[k + 1], gaps[k + 2]
-        out.append([f"0{c}", f"-1{b}{gb}", f"+1{gd}{d}", f"-2{a}", f"+2{e}", f"b{b}{gb}{c}", f"a{c}{gd}{d}", f"t{b}{gb}{c}{gd}{d}", f"p{a}{gaps[k - 1]}{b}{gb}{c}", f"n{c}{gd}{d}{ge}{e}"])
+        out.append([f"0{c}", f"-1{b}{gb}", f"+1{gd}{d}", f"-2{a}", f"+2{e}", f"b{b}{gb}{c}", f"a{c}{gd}{d}", f"t{b}{gb}{c}{gd}{d}", f"p{a}{gaps[k - 1]}{b}{gb}{c}", f"n{c}{gd}{d}{ge}{e}", f"R{shape}#{at}", f"G{coarse}#{at}", f"H{coarse}{c}"])
     return places, out
 
 
-def labelled(seed: int = 7, copies: int = 14) -> list[tuple[str, list[Span]]]:
-    """The small labelled table: sentences with the spans in them, and hard sentences without."""
-    r = random.Random(seed)
+def _makers(r: random.Random) -> tuple[list, list, list]:
+    """Rules for values with a kind, the same for forms that training never sees, and for values of no kind."""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice(["an", "the", "or", "ing", "so", "ver", "el", "mi", "ta", "ou"]) for _ in range(r.randint(1, 3)))
     tld = lambda: r.choice(["com", "org", "net", "de", "fr", "es", "io"])
-    octet = lambda: str(r.randint(0, 255))
-    positive = [
+    octets = lambda: [str(r.randint(0, 255)) for _ in range(4)]
+
+    def card(join: str) -> str:
+        body = r.choice("3456") + d(14)
+        whole = next(body + c for c in "0123456789" if _luhn(body + c))
+        return join.join(whole[i : i + 4] for i in range(0, 16, 4)) if join else whole
+
+    taught = [
         (0, lambda: f"{word()}.{d(2)}@{word()}{d(1)}.example.{tld()}"),
         (0, lambda: f"{word()}@{word()}.{tld()}"),
         (0, lambda: f"{word()} at {word()} dot {tld()}"),
+        (0, lambda: f"{word()}.{word()} at {word()} dot {tld()}"),
         (0, lambda: f"{word()} [at] {word()} [dot] {tld()}"),
         (0, lambda: f"{word()}(at){word()}(dot){tld()}"),
-        (1, lambda: ".".join(octet() for _ in range(4))),
-        (1, lambda: " . ".join(octet() for _ in range(4))),
-        (1, lambda: "[.]".join(octet() for _ in range(4))),
-        (2, lambda: "4" + d(15)),
-        (2, lambda: " ".join(["5" + d(3), d(4), d(4), d(4)])),
-        (2, lambda: "-".join(["4" + d(3), d(4), d(4), d(4)])),
-        (3, lambda: f"+{r.randint(1, 9)} ({d(3)}) {d(3)}-{d(4)}"),
-        (3, lambda: f"({d(3)}) {d(3)}-{d(4)}"),
-        (3, lambda: f"{d(3)}-{d(3)}-{d(4)}"),
-        (3, lambda: f"00{d(2)} {d(3)} {d(3)} {d(4)}"),
-        (3, lambda: f"+{d(2)} {d(3)} {d(7)}"),
+        (0, lambda: f"{word()} (at) {word()} (dot) {tld()}"),
+        (1, lambda: ".".join(octets())), (1, lambda: " . ".join(octets())), (1, lambda: "[.]".join(octets())), (1, lambda: " dot ".join(octets())),
+        (2, lambda: card("")), (2, lambda: card(" ")), (2, lambda: card("-")), (2, lambda: card("/")), (2, lambda: card("  ")),
+        (3, lambda: f"+{r.randint(1, 9)} ({d(3)}) {d(3)}-{d(4)}"), (3, lambda: f"({d(3)}) {d(3)}-{d(4)}"), (3, lambda: f"({d(3)}) {d(3)} {d(4)}"), (3, lambda: f"{d(3)}-{d(3)}-{d(4)}"), (3, lambda: f"{d(3)} {d(3)} {d(4)}"),
+        (3, lambda: f"00{d(2)} {d(3)} {d(3)} {d(4)}"), (3, lambda: f"+{d(2)} {d(3)} {d(7)}"), (3, lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"),
     ]
-    negative = [
-        lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: f"CC BY-NC {r.randint(1, 4)}.0.", lambda: f"version {r.randint(1, 4)}.", lambda: f"in {r.randint(1900, 2030)}",
-        lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(1, 12)}:{d(2)}", lambda: f"${r.randint(1, 999)}.{d(2)}",
+    held = [
+        (0, lambda: f"{word()} [at] {word()} dot {tld()}"), (0, lambda: f"{word()}@{word()} dot {tld()}"), (0, lambda: f"{word()}.{word()} (at) {word()} dot {tld()}"),
+        (1, lambda: "(.)".join(octets())), (1, lambda: " [.] ".join(octets())),
+        (2, lambda: card(".")), (2, lambda: card("_")),
+        (3, lambda: f"{d(3)}.{d(3)}.{d(4)}"), (3, lambda: f"({d(3)}) {d(3)}.{d(4)}"), (3, lambda: f"({d(3)})-{d(3)}-{d(4)}"), (3, lambda: f"0{d(1)}-{d(2)}-{d(2)}-{d(2)}-{d(2)}"),
+    ]
+    none = [
+        lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: f"CC BY-NC {r.randint(1, 4)}.0.", lambda: f"Version {r.randint(1, 4)}.{d(1)}", lambda: f"in {r.randint(1900, 2030)}", lambda: f"{r.randint(1900, 2030)}, {r.randint(1900, 2030)}",
+        lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(1, 12)}:{d(2)}", lambda: f"${r.randint(1, 999)}.{d(2)}", lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}",
         lambda: f"{r.randint(1, 999)},{d(3)},{d(3)}", lambda: "AKIA" + "".join(r.choice("ABCDEFGHJKLMNP23456789") for _ in range(16)), lambda: 'token = "' + "".join(r.choice("abcdef0123456789") for _ in range(40)) + '"',
-        lambda: "password=" + "".join(r.choice("abcdef0123456789") for _ in range(18)), lambda: f"connect the dot to {word()}", lambda: f"order no {d(7)}", lambda: f"pages {d(2)}-{d(3)}", lambda: f"{d(2)}.{d(2)}", lambda: f"@{word()}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"{d(1)} {d(2)} {d(1)} {d(3)}", lambda: f"at {word()} {d(2)}", lambda: d(r.randint(5, 12)),
+        lambda: "password=" + "".join(r.choice("abcdef0123456789") for _ in range(18)), lambda: f"connect the dot to {word()}", lambda: f"the dot {word()} at {word()}", lambda: f"order no {d(7)}", lambda: f"pages {d(2)}-{d(3)}", lambda: f"{d(2)}.{d(2)}", lambda: f"@{word()}", lambda: f"{word()} @ {word()}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
+        lambda: f"{d(1)} {d(2)} {d(1)} {d(3)}", lambda: f"at {word()} {d(2)}", lambda: d(r.randint(1, 13)), lambda: f"{d(2)} {d(4)}", lambda: f"({d(1)}) {word()} ({d(2)})", lambda: f"{word()}{d(2)}", lambda: f"https://{word()}.{tld()}/{d(3)}/{word()}", lambda: f"{d(3)}%%% {word()}### {d(2)}***", lambda: " ".join(d(2) for _ in range(r.randint(2, 9))), lambda: ", ".join(d(3) for _ in range(r.randint(2, 6))),
     ]
-    lead = {0: ["write to", "mail", "contact", ""], 1: ["host", "from", "server at", ""], 2: ["card", "visa", "paid by", ""], 3: ["tel", "call", "phone", ""]}
+    return taught, held, none
+
+
+def prose_word(r: random.Random) -> str:
+    out = "".join(r.choice(["an", "the", "or", "ing", "so", "ver", "el", "mi", "ta", "ou", "é", "ción", "ß", "ich", "a", "tion"]) for _ in range(r.choice([1, 1, 2, 2, 3, 4])))
+    return out.capitalize() if r.random() < 0.12 else out.upper() if r.random() < 0.02 else out
+
+
+def prose(r: random.Random, most: int) -> str:
+    """Up to `most` words of ordinary text, with its punctuation, now and then with marks on every word."""
+    mark = r.random() < 0.1
+    return " ".join(prose_word(r) + (r.choice(["###", "%%%", "***", "$$$", "&&&"]) if mark else r.choice(["", "", "", "", "", "", ",", ".", ";", ":", "!", " |", ")", "?"])) for _ in range(r.randint(0, most)))
+
+
+def sentence(r: random.Random, kind: int | None, value: str) -> tuple[str, list[Span]]:
+    """The value in prose, behind a word that leads to it or none."""
+    lead = {0: ["write to", "mail", "contact", "", "", ""], 1: ["host", "from", "server at", "", "", ""], 2: ["card", "visa", "paid by", "", "", ""], 3: ["tel", "call", "phone", "", "", ""], None: [""]}
+    before = f"{prose(r, 9)} {r.choice(lead[kind])}".strip()
+    start = len(before) + 1 if before else 0
+    text = (f"{before} {value}" if before else value) + r.choice([" ", " ", " ", ". ", ", ", "; ", "### ", "!! ", " | ", ") "]) + prose(r, 9)
+    return text, [] if kind is None else [(start, kind, start + len(value))]
+
+
+def labelled(seed: int = 7, copies: int = 10, held: bool = False) -> list[tuple[str, list[Span]]]:
+    """The small labelled table: sentences with the spans in them, and hard sentences without."""
+    r = random.Random(seed)
+    taught, kept, none = _makers(r)
     out = []
     for _ in range(copies):
-        for kind, make in positive:
-            before = " ".join([*(word() for _ in range(r.randint(0, 5))), r.choice(lead[kind])]).strip()
-            value = make()
-            start = len(before) + 1 if before else 0
-            text = f"{before} {value}" if before else value
-            out.append((text + r.choice([" ", ". ", ", ", "; "]) + " ".join(word() for _ in range(r.randint(0, 5))), [(start, kind, start + len(value))]))
-        for make in negative:
-            out.append((" ".join([*(word() for _ in range(r.randint(0, 5))), make(), *(word() for _ in range(r.randint(0, 5)))]), []))
+        out += [sentence(r, kind, make()) for kind, make in (kept if held else taught)]
+        out += [sentence(r, None, make()) for make in none]
     return out
 
 
@@ -169,15 +230,18 @@ class Field:
                 self.barred[:, j] = [0 if a[1:] == name[1:] else -1e9 for a in LABELS]
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
-        get, width = self.index.get, 10
-        ids = np.array([[get(f, 0) for f in row] for row in rows], np.int64).reshape(-1, width)
+        get = self.index.get
+        ids = np.array([[get(f, 0) for f in row] for row in rows], np.int64).reshape(-1, WIDTH)
         return self.emit[ids].sum(axis=1)
 
-    def viterbi(self, padded: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best labels of a batch (windows, tokens, labels), all windows at once."""
+    def viterbi(self, padded: np.ndarray, lengths: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """Best labels of a batch (windows, tokens, labels), all windows at once. ends: whether a
+        window is the text's beginning, and its end (both, if not given); elsewhere its neighbours are
+        labelled O."""
         n, most, k = padded.shape
+        ends = np.ones((n, 2), bool) if ends is None else ends
         move = self.move + self.barred
-        best = padded[:, 0] + np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
+        best = padded[:, 0] + np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS]) + np.where(ends[:, :1], 0.0, move[0][None])
         back = np.zeros((n, most, k), np.int8)
         for t in range(1, most):
             through = best[:, :, None] + move[None]
@@ -187,14 +251,14 @@ class Field:
             back[:, t] = np.where(on, pick, np.arange(k))
             best = np.where(on, value, best)
         out = np.zeros((n, most), np.int8)
-        at = best.argmax(axis=1)
+        at = (best + np.where(ends[:, 1:], 0.0, move[:, 0][None])).argmax(axis=1)
         for t in range(most - 1, -1, -1):
             out[:, t] = at
             at = back[np.arange(n), t, at]
         return out
 
 
-def train(table: list[tuple[str, list[Span]]], rounds: int = 70, rate: float = 0.4, decay: float = 1e-3, least: int = 2) -> Field:
+def train(table: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0.4, decay: float = 1e-3, least: int = 2) -> Field:
     """Maximum likelihood by AdaGrad, all sentences in each step, forward and backward in numpy."""
     data = []
     seen: dict[str, int] = {}
@@ -211,16 +275,21 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 70, rate: float = 0
     index = {f: i + 1 for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
     data = [x for x in data if x[0]]
     n, most, k = len(data), max(len(x[0]) for x in data), len(LABELS)
-    ids = np.zeros((n, most, 10), np.int64)
+    ids = np.zeros((n, most, WIDTH), np.int64)
     gold, on = np.zeros((n, most), np.int64), np.zeros((n, most), bool)
     for i, (rows, labels) in enumerate(data):
         ids[i, : len(rows)] = [[index.get(f, 0) for f in row] for row in rows]
         gold[i, : len(rows)], on[i, : len(rows)] = labels, True
     emit, move = np.zeros((len(index) + 1, k)), np.zeros((k, k))
     square_e, square_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
-    flat, mask = ids.reshape(-1, 10), on.reshape(-1)
+    mask = on.reshape(-1)
+    flat = ids.reshape(-1, WIDTH)[mask]
+    order = np.argsort(flat, axis=None, kind="stable")  # tokens by feature, so that a feature's sum is one stretch
+    present, begin = np.unique(flat.reshape(-1)[order], return_index=True)
+    token = order // WIDTH
     for _ in range(rounds):
-        s = emit[ids].sum(axis=2)
+        s = np.zeros((n, most, k))
+        s[on] = emit[flat].sum(axis=1)
         forward, backward = np.zeros_like(s), np.zeros_like(s)
         forward[:, 0] = s[:, 0]
         total = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
@@ -235,8 +304,7 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 70, rate: float = 0
         node[np.arange(n)[:, None], np.arange(most)[None], gold] -= on
         grad_e = np.zeros_like(emit)
         wrong = node.reshape(-1, k)[mask]
-        for c in range(10):
-            np.add.at(grad_e, flat[mask, c], wrong)
+        grad_e[present] = np.add.reduceat(wrong[token], begin, axis=0)
         grad_m = np.zeros_like(move)
         for t in range(1, most):
             live = on[:, t]
@@ -262,8 +330,8 @@ def field() -> Field:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of whole words around triggers, apart from each other. A span must hold a
-    trigger, so what lies outside has no label but O."""
+    """Stretches of whole words around triggers, apart from each other: the tokens that may have
+    another label than O."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         b = m.end() + REACH
@@ -271,26 +339,50 @@ def windows(text: str) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([max(0, m.start() - REACH), b])
-    done = 0
     for w in out:  # to white space on either side
-        a, b = max(w[0], done), min(max(w[1], done), len(text))
-        while a > done and not text[a - 1].isspace():
+        a, b = w[0], min(w[1], len(text))
+        while a > 0 and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
         w[:] = [a, b]
-        done = b
-    return [(a, b) for a, b in out if a < b]
+    joined: list[list[int]] = []
+    for w in out:  # what touches now is one
+        if joined and not text[joined[-1][1] : w[0]].strip():
+            joined[-1][1] = w[1]
+        elif joined and w[0] < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], w[1])
+        else:
+            joined.append(w)
+    return [(a, b) for a, b in joined if a < b]
+
+
+def _around(text: str, a: int, b: int) -> tuple[int, int]:
+    """a and b moved out by two stretches without white space, which hold two tokens at least."""
+    for _ in range(2):
+        while a > 0 and text[a - 1].isspace():
+            a -= 1
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+    return a, b
 
 
 def field_spans(model: Field, texts: list[str], cells: int = 60_000) -> list[list[Span]]:
-    """The field's spans of each text; windows of like length are decoded together."""
+    """The field's spans of each text, in order; windows of like length are decoded together."""
     todo = []
     for i, text in enumerate(texts):
         for a, b in windows(text):
-            places, rows = features(text[a:b])
-            if rows:
-                todo.append((len(rows), i, a, places, rows))
+            left, right = _around(text, a, b)
+            places, rows = features(text[left:right])
+            own = [t for t, (x, _) in enumerate(places) if a <= left + x < b]
+            if own:
+                first, last = own[0], own[-1] + 1
+                ends = (left == 0 and first == 0, right == len(text) and last == len(places))
+                todo.append((len(own), i, left, places[first:last], rows[first:last], ends))
     todo.sort(key=lambda x: x[0])
     found: list[list[Span]] = [[] for _ in texts]
     at = 0
@@ -304,19 +396,23 @@ def field_spans(model: Field, texts: list[str], cells: int = 60_000) -> list[lis
         padded = np.zeros((len(group), int(lengths.max()), len(LABELS)))
         scores = model.scores([row for g in group for row in g[4]])
         padded[np.arange(padded.shape[1])[None] < lengths[:, None]] = scores
-        labels = model.viterbi(padded, lengths)
-        for row, (n, i, a, places, _) in zip(labels, group):
-            if not row[:n].any():
-                continue
+        labels = model.viterbi(padded, lengths, np.array([g[5] for g in group]))
+        for row, (n, i, a, places, _, _) in zip(labels, group):
+            found[i] += spans_of(row[:n].tolist(), [(a + x, a + y) for x, y in places])
+    return [sorted(x) for x in found]
+
+
+def spans_of(labels: list[int], places: list[tuple[int, int]]) -> list[Span]:
+    """The spans that labels mark: a B label, or an I label's first, begins one; O and B end one."""
+    out, start = [], None
+    for t in range(len(labels) + 1):
+        label = labels[t] if t < len(labels) else 0
+        if start is not None and (label == 0 or label % 2 == 1):
+            out.append((places[start][0], (labels[start] - 1) // 2, places[t - 1][1]))
             start = None
-            for t in range(n + 1):
-                label = int(row[t]) if t < n else 0
-                if start is not None and (label == 0 or label % 2 == 1):
-                    found[i].append((a + places[start][0], (int(row[start]) - 1) // 2, a + places[t - 1][1]))
-                    start = None
-                if label % 2 == 1:
-                    start = t
-    return found
+        if label % 2 == 1:
+            start = t
+    return out
 
 
 def _plausible(text: str, kind: int) -> bool:

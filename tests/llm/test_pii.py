@@ -45,6 +45,39 @@ def test_field_finds_what_patterns_miss():
     assert not base and {(k, text[a:b]) for a, k, b in every} == {(3, "555-123-4567"), (0, "anna at mail dot com")}
 
 
+def test_forms_that_training_never_saw():
+    """Precision and recall of the whole operator on held-out forms, and quiet on ordinary prose."""
+    model, table = pii.field(), pii.labelled(seed=321, copies=12, held=True)
+    right = wrong = whole = 0
+    for (_, gold), (_, every) in zip(table, pii.spans(model, [t for t, _ in table])):
+        right, wrong, whole = right + len(set(gold) & set(every)), wrong + len(set(every) - set(gold)), whole + len(gold)
+    assert right >= 0.65 * whole and wrong <= 0.1 * right, (right, wrong, whole)
+    r = random.Random(5)
+    calm = [pii.prose(r, 200) for _ in range(200)]
+    assert sum(map(len, pii.field_spans(model, calm))) == 0
+
+
+def test_windows_are_the_whole_text_decoded():
+    """Whole texts in one chain, labels other than O barred away from triggers, against the windows."""
+    import numpy as np
+
+    model, r = pii.field(), random.Random(11)
+    taught, held, none = pii._makers(r)
+    texts = []
+    for _ in range(150):
+        parts = [pii.prose(r, 40) for _ in range(5)]
+        texts.append(" ".join(x for p in parts for x in (p, r.choice([*(m for _, m in taught + held), *none])())))
+    for text, got in zip(texts, pii.field_spans(model, texts)):
+        places, rows = pii.features(text)
+        inside = np.zeros(len(text) + 1, bool)
+        for a, b in pii.windows(text):
+            inside[a:b] = True
+        s = model.scores(rows)
+        s[~inside[[a for a, _ in places]], 1:] = -1e6
+        labels = model.viterbi(s[None], np.array([len(rows)]))[0]
+        assert pii.spans_of(labels.tolist(), places) == got, text
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
