@@ -71,6 +71,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             values = np.array(body.split(), dtype=np.int64)
         if len(values) < n:
             raise MediaError("short Netpbm data")
+        if n and not 0 <= int(values[:n].min()) <= int(values[:n].max()) <= top:
+            raise MediaError("Netpbm sample out of range")
         image = values[:n].astype(np.uint8 if top < 256 else np.uint16)
     else:
         at += 1
@@ -110,7 +112,13 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """The image; MediaError for bytes of any sort that are none."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except MediaError:
+        raise
+    except (ValueError, OverflowError, IndexError, struct.error) as e:  # a number or table that makes no sense
+        raise MediaError(f"bad image: {e}") from e
 
 
 def encode_pgm(image: np.ndarray) -> bytes:
@@ -222,14 +230,14 @@ def decode_media(media: DataFrame, key: str, column: str) -> DataFrame:
     return common.need(media, key, column).mapInArrow(run, common.ddl(_MEDIA))
 
 
-_TEXT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_TEXT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tiles_sha256", pa.string())])
 
 
 def text_media_digests(docs: DataFrame) -> DataFrame:
     """Texts stored as grey images, read back and described.
 
-    The feature is the image's difference hash and those of the four tiles. A null text is
-    empty: one unit of fill bytes. One narrow map, so that no image crosses the network."""
+    The feature is the image's difference hash and those of the four tiles; tiles_sha256 is of the
+    tiles' NPY files, one after another. A null text is empty: one unit of fill bytes. One narrow map, so that no image crosses the network."""
     common.ready(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +249,10 @@ def text_media_digests(docs: DataFrame) -> DataFrame:
                 stored = encode_pgm(payload_image(payload))
                 image = decode(stored)
                 back = image.tobytes()
-                feature = ".".join([difference_hash(grey(image)), *(h for _, h in tiles(image))])
-                for name, value in zip(_TEXT.names[1:], (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)):
+                cut = tiles(image)
+                feature = ".".join([difference_hash(grey(image)), *(h for _, h in cut)])
+                files = hashlib.sha256(b"".join(t for t, _ in cut)).hexdigest()
+                for name, value in zip(_TEXT.names[1:], (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, files)):
                     out[name].append(value)
             yield common.batch(_TEXT, out)
 

@@ -53,6 +53,8 @@ def test_query_form(spark, docs_of, odd):
         assert rows and rows[0][2:5] == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         stored = media.text_media(t or "")
         assert rows[0][5:7] == (len(stored), hashlib.sha256(stored).hexdigest())
+        files = [t for t, _ in media.tiles(media.decode(stored))]
+        assert rows[0][8] == hashlib.sha256(b"".join(files)).hexdigest() and all(np.load(io.BytesIO(f)).shape == (32, 32, 1) for f in files)
     assert len(got) == len(odd) and media.text_media_digests(docs_of([])).count() == 0
 
 
@@ -63,4 +65,9 @@ def test_media_columns(spark):
     assert (rows[1]["width"], rows[1]["height"], rows[1]["channels"]) == (4, 4, 3) and len(rows[1]["tile_npy"]) == 4
     tile = np.load(io.BytesIO(rows[1]["tile_npy"][0]))
     assert (tile == media.area_resize(image, 64, 64)[:32, :32]).all()
+    # numbers that make no sense, a palette that is cut off, samples over the top: each gives an error row
+    short = struct.pack("<2sIHHI", b"BM", 60, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 3, 1, 1, 1, 0, 4, 0, 0, 256, 0) + bytes(4)
+    broken = [b"P2 2 1 255 x y", b"P2 1 1 255 " + b"9" * 40, b"P5 " + b"1" * 5000 + b" 1 255\n", short, b"P2 1 1 9 10", b"P2 1 1 9 -1"]
+    bad = media.decode_media(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(broken)], "k long, m binary"), "k", "m").collect()
+    assert len(bad) == len(broken) and all(r["error"] and r["width"] is None for r in bad)
     assert rows[2]["error"] == rows[4]["error"] == "no data" and rows[3]["error"] == "not Netpbm"
