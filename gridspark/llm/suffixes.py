@@ -8,8 +8,8 @@ A byte goes if a string of 200 bytes that covers it starts anywhere else too. Th
 2. The different contexts of a shared anchor are suffix-sorted by the difference-cover algorithm
    modulo 3 (triples of the sampled suffixes, recursion on their names, merge of the rest), in
    blocks that hold all contexts of an anchor. Windows whose 200 bytes equal those of their
-   neighbour in suffix order repeat. Anchors with more contexts than a block takes are told apart
-   by longer strings around them first, until they fit.
+   neighbour in suffix order repeat. Anchors with more than GROUP_BYTES of contexts are told apart
+   by longer strings around them first, across tasks, until they fit.
 3. Runs of repeated windows come back to their documents, which drop the bytes.
 
 Anchors that hold over a thousandth of all rows are dealt by anchor and context instead of by
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 from .anchors import GRAM, WIDTH, contexts
 
-#: Bytes of contexts that are suffix-sorted at a time, and the largest group that a block takes.
-BLOCK_BYTES = 1_500_000
+#: Bytes of contexts that are suffix-sorted at a time, and those of the largest anchor among them.
+BLOCK_BYTES, GROUP_BYTES = 1_500_000, 250_000
 #: Rows of anchors that a task combines before it passes them on.
 COMBINE_ROWS = 1_500_000
 #: An anchor is dealt by context too if it has this share of all rows, and this many at least.
@@ -350,10 +350,10 @@ def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _relieved(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Contexts of which no anchor has more than a block takes, and runs met on the way."""
+    """Contexts of which no anchor has more than GROUP_BYTES, and runs met on the way."""
     ready, runs = [], []
     for _ in range(12):
-        crowd = common.checkpointed(found.groupBy("gram").agg(F.sum(F.length("data")).alias("n")).where(f"n > {BLOCK_BYTES}").select("gram"))
+        crowd = common.checkpointed(found.groupBy("gram").agg(F.sum(F.length("data")).alias("n")).where(f"n > {min(GROUP_BYTES, BLOCK_BYTES)}").select("gram"))
         if crowd.isEmpty():
             break
         ready.append(found.join(crowd, "gram", "left_anti"))
