@@ -20,7 +20,7 @@ def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    for table in ("lineitem", "embeddings", "orders", "events"):
+    for table in ("lineitem", "embeddings", "orders", "events", "cube"):
         demo.store(spark, sf_dir, table)
     took = {}
     for name, query in demo.queries().items():

@@ -1,8 +1,8 @@
 """Queries over stores that are written from plain tables, each beside the SQL that gives the same
 rows from the tables themselves. Used by tests, the benchmark and the driver's entry module.
 
-The stores are fixtures: the writer runs on one machine, and what it writes is read back through the
-engine as any store is."""
+The stores are fixtures, written by Spark tasks, a chunk at a time, and read back through the engine
+as any store is."""
 
 from __future__ import annotations
 
@@ -17,70 +17,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import testing as W
+from .errors import ZarrError
 from .plans.sqltext import sql
+from .shipping import ship
+from .testing import Spec
 
-_ZSTD = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 1}}]
-_BLOSC = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "blosc", "configuration": {"shuffle": "shuffle"}}]
+_BYTES = {"name": "bytes", "configuration": {"endian": "little"}}
+_ZSTD = [_BYTES, {"name": "zstd", "configuration": {"level": 1}}]
+_BLOSC = [_BYTES, {"name": "blosc", "configuration": {"shuffle": "shuffle"}}]
+_SHARDS = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 3, 4], "codecs": _ZSTD, "index_codecs": [_BYTES, {"name": "crc32c"}]}}]
+_TURNED = [{"name": "transpose", "configuration": {"order": [3, 1, 0, 2]}}, {"name": "bytes", "configuration": {"endian": "big"}}, {"name": "gzip", "configuration": {"level": 1}}, {"name": "crc32c"}]
 
 
-def _lineitem(root: str, t) -> None:  # noqa: ANN001
+def _lineitem(root: str, t: DataFrame, base: str) -> None:
     W.write_group(root)
-    n = (50_000,) if len(t) > 100_000 else (7_000,)
-    whole = lambda c, kind: t[c].to_numpy().astype(kind)
-    for name, value, attrs in (
-        ("orderkey", whole("l_orderkey", "i8"), None), ("partkey", whole("l_partkey", "i8"), None), ("suppkey", whole("l_suppkey", "i8"), None), ("linenumber", whole("l_linenumber", "i4"), None),
-        ("quantity", whole("l_quantity", "f8"), None), ("price", whole("l_extendedprice", "f8"), None), ("shipdate", t["l_shipdate"].to_numpy().astype("datetime64[us]").astype("i8"), None),
-        ("discount", np.round(t["l_discount"].to_numpy() * 100).astype("i2"), {"scale_factor": 0.01}), ("tax", np.round(t["l_tax"].to_numpy() * 100).astype("i2"), {"scale_factor": 0.01, "missing_value": 0}),
-        ("returnflag", np.array([ord(x) for x in t["l_returnflag"]], "u1"), None), ("linestatus", np.array([ord(x) for x in t["l_linestatus"]], "u1"), None),
-    ):
-        W.write_array(root, name, value, ["row"], n, attrs=attrs, codecs=_ZSTD)
-
-
-def _embeddings(root: str, t) -> None:  # noqa: ANN001
+    rows = W.numbered(t, base)
+    n = rows.count()
+    cells = rows.select("*", F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"), F.ascii("l_returnflag").alias("flag"), F.ascii("l_linestatus").alias("status"))
+    plain = [("orderkey", "l_orderkey", "i8"), ("partkey", "l_partkey", "i8"), ("suppkey", "l_suppkey", "i8"), ("linenumber", "l_linenumber", "i4"), ("quantity", "l_quantity", "f8"), ("price", "l_extendedprice", "f8"), ("shipdate", "l_shipdate", "i8"), ("returnflag", "flag", "u1"), ("linestatus", "status", "u1")]
+    arrays = [Spec(*x, codecs=_ZSTD) for x in plain] + [Spec("discount", "discount", "i2", {"scale_factor": 0.01}, _ZSTD), Spec("tax", "tax", "i2", {"scale_factor": 0.01, "missing_value": 0}, _ZSTD)]
+    W.write_grid(cells, root, ["row"], ["i"], (n,), (50_000 if n > 100_000 else 7_000,), arrays)
+
+
+def _embeddings(root: str, t: DataFrame, base: str) -> None:
     W.write_group(root)
-    matrix = np.stack(t["embedding"].to_numpy()).astype("f4")
-    W.write_array(root, "vec", t["vec_id"].to_numpy().astype("i8"), ["vec"])
-    W.write_array(root, "embedding", matrix, ["vec", "d"], (300, 24), codecs=_BLOSC)
-    W.write_array(root, "label", t["label"].to_numpy().astype("i4"), ["vec"], (300,))
+    rows = W.numbered(t.select("vec_id", "label", "embedding"), base)
+    n, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    W.write_grid(rows, root, ["vec"], ["i"], (n,), (300,), [Spec("vec", "vec_id", "i8"), Spec("label", "label", "i4")])
+    W.write_grid(rows.select("i", F.posexplode("embedding").alias("d", "x")), root, ["vec", "d"], ["i", "d"], (n, width), (300, 24), [Spec("embedding", "x", "f4", codecs=_BLOSC)])
 
 
-def _orders(root: str, t) -> None:  # noqa: ANN001
-    t = t.sort_values("o_orderkey")
+def _orders(root: str, t: DataFrame, base: str) -> None:
     W.write_v2_group(root)
-    n = (10_000,)
-    W.write_v2_array(root, "orderkey", t["o_orderkey"].to_numpy().astype("i8"), ["orderkey"], n, compressor={"id": "zlib"})
-    for name, value in (("custkey", t["o_custkey"].to_numpy().astype(">i8")), ("totalprice", t["o_totalprice"].to_numpy().astype("f8")), ("orderdate", t["o_orderdate"].to_numpy().astype("datetime64[us]").astype("i8"))):
-        W.write_v2_array(root, name, value, ["orderkey"], n, compressor={"id": "blosc"})
+    rows = W.numbered(t, base, "o_orderkey")
+    blosc = {"id": "blosc"}
+    arrays = [Spec("orderkey", "o_orderkey", "<i8", compressor={"id": "zlib"}), Spec("custkey", "o_custkey", ">i8", compressor=blosc), Spec("totalprice", "o_totalprice", "<f8", compressor=blosc), Spec("orderdate", "o_orderdate", "<i8", compressor=blosc)]
+    W.write_grid(rows, root, ["orderkey"], ["i"], (rows.count(),), (10_000,), arrays, version=2)
 
 
-def _activity(root: str, t) -> None:  # noqa: ANN001
+def _activity(root: str, t: DataFrame, base: str) -> None:
     """How many events of each kind a user had; the chunks and cells without any hold the fill value."""
-    users, kinds = np.sort(t["user_id"].unique()), np.sort(t["event_type"].unique())
-    grid = np.full((len(users), len(kinds)), -1, "i4")
-    np.add.at(grid, (np.searchsorted(users, t["user_id"]), np.searchsorted(kinds, t["event_type"])), 1)
-    grid[grid >= 0] += 1
-    shape = (max(1, len(users) // 4), 2)
-    empty = lambda at: (grid[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, shape))] < 0).all()
+    users = W.numbered(t.select("user_id").distinct(), base, "user_id")
+    kinds = W.numbered(t.select("event_type").distinct(), base, "event_type").withColumnRenamed("i", "j")
+    n, k = users.count(), kinds.count()
     W.write_group(root)
-    W.write_array(root, "user", users.astype("i8"), ["user"])
-    W.write_array(root, "n", grid, ["user", "kind"], shape, fill=-1, codecs=_ZSTD, skip=empty)
-
+    W.write_grid(users, root, ["user"], ["i"], (n,), (n,), [Spec("user", "user_id", "i8")])
+    cells = t.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).join(users, "user_id").join(kinds, "event_type")
+    W.write_grid(cells, root, ["user", "kind"], ["i", "j"], (n, k), (max(1, n // 4), 2), [Spec("n", "n", "i4", codecs=_ZSTD, fill=-1)])
 
-_STORES = {"lineitem": _lineitem, "embeddings": _embeddings, "orders": _orders, "events": _activity}
 
-
-def store(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """The path of a table's store, written when first asked for: in the shared folder of
-    spark.checkpoint.dir where that is a local path, named by the input's files, sizes and times."""
+def _cube(root: str, t: DataFrame, base: str) -> None:
+    """Lines by month, supplier and part as a grid of time, lat and lon, and by line number as level:
+    a sharded, a transposed and a nested array, bounds, a scalar and an auxiliary coordinate."""
+    W.write_group(root)
+    cells = t.select((F.month("l_shipdate") - 1).cast("long").alias("t"), (F.col("l_suppkey") % 6).alias("j"), (F.col("l_partkey") % 8).alias("k"), (F.col("l_linenumber") - 1).cast("long").alias("l"), "l_quantity")
+    sums = (F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
+    three = cells.groupBy("t", "j", "k").agg(*sums).withColumn("odd", F.when(F.col("j") == 0, F.lit(float("nan"))).otherwise(F.col("qty")))
+    aux = {"coordinates": "area"}
+    W.write_grid(three, root, ["time", "lat", "lon"], ["t", "j", "k"], (12, 6, 8), (4, 6, 8), [Spec("qty", "qty", "f8", aux, _SHARDS, -1.0), Spec("n", "n", "i4", None, _ZSTD, 0), Spec("odd", "odd", "f8", None, _BLOSC)])
+    W.write_grid(cells.groupBy("t", "l", "j", "k").agg(*sums), root, ["time", "level", "lat", "lon"], ["t", "l", "j", "k"], (12, 7, 6, 8), (5, 7, 4, 8), [Spec("by_level", "qty", "f8", None, _TURNED, -1.0)])
+    W.write_grid(cells.groupBy("j", "k").agg(*sums), root, ["lat", "lon"], ["j", "k"], (6, 8), (4, 4), [Spec("deep/inner/share", "n", "i8")])
+    W.write_array(root, "time", np.arange(12), ["time"], attrs={"bounds": "time_bnds"})
+    W.write_array(root, "lat", 50.0 - 10 * np.arange(6), ["lat"], (4,))
+    W.write_array(root, "lon", 2.5 * np.arange(8), ["lon"])
+    W.write_array(root, "level", 100 * np.arange(1, 8, dtype="i4"), ["level"])
+    W.write_array(root, "time_bnds", np.stack([np.arange(12), np.arange(1, 13)], axis=1), ["time", "nv"])
+    W.write_array(root, "crs", np.array(4326, "i4"), [])
+    W.write_array(root, "area", np.ones((6, 8)), ["lat", "lon"])
+
+
+#: store -> its table and its writer
+_STORES = {"lineitem": ("lineitem", _lineitem), "embeddings": ("embeddings", _embeddings), "orders": ("orders", _orders), "events": ("events", _activity), "cube": ("lineitem", _cube)}
+
+
+def store(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The path of a store, written when first asked for: in the shared folder of spark.checkpoint.dir
+    where that is a local path, named by the input's files, sizes and times. Without one, only local
+    mode can go on, in the temporary folder."""
+    table, write = _STORES[name]
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     files = sorted(map(tuple, rows.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("double")).distinct().collect()))
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    base = os.path.join(shared if shared.startswith("/") else tempfile.gettempdir(), "gridspark-demo-" + hashlib.sha256(f"{os.getuid()} {sf_dir} {files} 3".encode()).hexdigest()[:16])
-    path = os.path.join(base, f"{table}.zarr")
+    if not shared.startswith("/") and not spark.sparkContext.master.startswith("local["):
+        raise ZarrError("stores for the demo queries need a spark.checkpoint.dir that all machines see as a local folder")
+    base = os.path.join(shared if shared.startswith("/") else tempfile.gettempdir(), "gridspark-demo-" + hashlib.sha256(f"{os.getuid()} {sf_dir} {files} 4".encode()).hexdigest()[:16])
+    path = os.path.join(base, f"{name}.zarr")
     if not os.path.exists(path):
+        ship(spark)
         os.makedirs(base, exist_ok=True)
-        made = tempfile.mkdtemp(dir=base)
-        _STORES[table](made, rows.toPandas())
+        made, work = tempfile.mkdtemp(dir=base), tempfile.mkdtemp(dir=base)
+        write(made, rows, work)
+        shutil.rmtree(work)
         try:
             os.rename(made, path)
         except OSError:  # another process was first
@@ -88,6 +115,8 @@ def store(spark: SparkSession, sf_dir: str, table: str) -> str:
     return path
 
 
+#: The cells of the cube store, for the SQL beside its queries.
+_CELLS = "WITH c AS (SELECT month(l_shipdate) - 1 AS t, l_suppkey % 6 AS j, l_partkey % 8 AS k, l_linenumber AS l, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4), s AS (SELECT t, j, k, sum(q) AS q, sum(n) AS n FROM c GROUP BY 1, 2, 3) "
 #: name -> (query over stores, in braces by table; the same over the tables, for another SQL engine)
 QUERIES: dict[str, tuple[str, str]] = {
     "scan_count": ("SELECT count(*) AS n FROM '{lineitem}'", "SELECT count(*) AS n FROM lineitem"),
@@ -117,6 +146,13 @@ QUERIES: dict[str, tuple[str, str]] = {
     "round_cast": ("SELECT linenumber, round(max(price)::DOUBLE - min(price)::DOUBLE, 2) AS span, max(price) > min(price) AS wide FROM '{lineitem}' GROUP BY linenumber", "SELECT l_linenumber AS linenumber, round(max(l_extendedprice) - min(l_extendedprice), 2) AS span, max(l_extendedprice) > min(l_extendedprice) AS wide FROM lineitem GROUP BY 1"),
     "metadata": ("SELECT name, dims, dtype, role FROM read_zarr_metadata('{embeddings}')", "SELECT * FROM (VALUES ('embedding', '[\"vec\",\"d\"]', 'float32', 'data'), ('label', '[\"vec\"]', 'int32', 'data'), ('vec', '[\"vec\"]', 'int64', 'coord')) t(name, dims, dtype, role)"),
     "metadata_one": ("SELECT name, role FROM read_zarr_metadata('{orders}', array_path='custkey')", "SELECT 'custkey' AS name, 'data' AS role"),
+    "cube_average": ("SELECT lat, lon, avg(qty) AS a, sum(n) AS n FROM read_zarr('{cube}', dims='time,lat,lon') GROUP BY lat, lon", _CELLS + "SELECT (50 - 10 * j)::DOUBLE AS lat, 2.5 * k::DOUBLE AS lon, avg(q) AS a, sum(n)::BIGINT AS n FROM s GROUP BY j, k"),
+    "cube_levels": ("SELECT level, count(*) AS cells, sum(by_level) AS q FROM read_zarr('{cube}', dims=['time','level','lat','lon']) WHERE lat BETWEEN 10 AND 30 AND level > 300 AND time < 6 GROUP BY level", _CELLS + "SELECT (l * 100)::INT AS level, 6 * 3 * 8::BIGINT AS cells, sum(q) AS q FROM c WHERE l > 3 AND t < 6 AND j BETWEEN 2 AND 4 GROUP BY l"),
+    "cube_join": ("SELECT a.time, a.lat, a.lon, a.qty, b.by_level AS low FROM read_zarr('{cube}', dims='time,lat,lon') a JOIN read_zarr('{cube}', dims='time,level,lat,lon') b ON a.time = b.time AND a.lat = b.lat AND a.lon = b.lon WHERE b.level = 100 AND b.by_level IS NOT NULL AND a.lon < 12", _CELLS + "SELECT t::BIGINT AS time, (50 - 10 * j)::DOUBLE AS lat, 2.5 * k::DOUBLE AS lon, s.q AS qty, c.q AS low FROM s JOIN c USING (t, j, k) WHERE l = 1 AND k < 5"),
+    "cube_nan": ("SELECT count(*) AS n FROM read_zarr('{cube}', array_path='odd') WHERE odd = 'NaN'::DOUBLE", _CELLS + "SELECT count(*) AS n FROM s WHERE j = 0"),
+    "cube_nested": ("SELECT lat, lon, \"deep/inner/share\" AS n FROM read_zarr('{cube}', array_path='deep/inner/share') WHERE \"deep/inner/share\" > 0", _CELLS + "SELECT (50 - 10 * j)::DOUBLE AS lat, 2.5 * k::DOUBLE AS lon, sum(n)::BIGINT AS n FROM s GROUP BY j, k"),
+    "cube_metadata": ("SELECT name, dims, dtype, shape, chunk_shape, role FROM read_zarr_metadata('{cube}')", "SELECT * FROM (VALUES " + ", ".join(map(str, [("area", '["lat","lon"]', "float64", "[6,8]", "[6,8]", "aux_coord"), ("by_level", '["time","level","lat","lon"]', "float64", "[12,7,6,8]", "[5,7,4,8]", "data"), ("crs", "[]", "int32", "[]", "[]", "scalar"), ("deep/inner/share", '["lat","lon"]', "int64", "[6,8]", "[4,4]", "data"), ("lat", '["lat"]', "float64", "[6]", "[4]", "coord"), ("level", '["level"]', "int32", "[7]", "[7]", "coord"), ("lon", '["lon"]', "float64", "[8]", "[8]", "coord"), ("n", '["time","lat","lon"]', "int32", "[12,6,8]", "[4,6,8]", "data"), ("odd", '["time","lat","lon"]', "float64", "[12,6,8]", "[4,6,8]", "data"), ("qty", '["time","lat","lon"]', "float64", "[12,6,8]", "[4,6,8]", "data"), ("time", '["time"]', "int64", "[12]", "[12]", "coord"), ("time_bnds", '["time","nv"]', "int64", "[12,2]", "[12,2]", "bounds")])) + ") t(name, dims, dtype, shape, chunk_shape, role)"),
+    "cube_groups": ("SELECT dims, shape, chunk_shape, data_vars, coord_vars FROM read_zarr_groups('{cube}')", "SELECT * FROM (VALUES " + ", ".join(map(str, [('["lat","lon"]', "[6,8]", "[4,4]", '["deep/inner/share"]', '["lat","lon"]'), ('["time","lat","lon"]', "[12,6,8]", "[4,6,8]", '["n","odd","qty"]', '["time","lat","lon"]'), ('["time","level","lat","lon"]', "[12,7,6,8]", "[5,7,4,8]", '["by_level"]', '["time","level","lat","lon"]')])) + ") t(dims, shape, chunk_shape, data_vars, coord_vars)"),
     "groups": ("SELECT dims, data_vars, coord_vars FROM read_zarr_groups('{embeddings}')", "SELECT * FROM (VALUES ('[\"vec\",\"d\"]', '[\"embedding\"]', '[\"vec\"]'), ('[\"vec\"]', '[\"label\"]', '[\"vec\"]')) t(dims, data_vars, coord_vars)"),
 }
 

@@ -1,5 +1,6 @@
-"""A small writer of array stores, for fixtures and examples. Not a sink: it writes from numpy, on
-one machine."""
+"""A small writer of array stores, for fixtures and examples. Not a sink: `write_array` writes from
+numpy, on one machine; `write_grid` writes a DataFrame's cells by Spark tasks, a chunk in each group,
+to a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -7,13 +8,17 @@ import gzip
 import json
 import os
 import struct
+import uuid
 import zlib
+from dataclasses import dataclass
 from itertools import product
 from math import prod
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .sources.arrays import KINDS, crc32c
 
@@ -101,21 +106,91 @@ def write_group(root: str, attrs: dict | None = None) -> None:
     _put(f"{root}/zarr.json", {"zarr_format": 3, "node_type": "group", "attributes": attrs or {}})
 
 
-def write_array(root: str, name: str, value: np.ndarray, dims: list | None, chunks: tuple[int, ...] | None = None, fill: object = 0, attrs: dict | None = None, codecs: list[dict] | None = None, skip=None, **more: object) -> dict:  # noqa: ANN001
-    """A version 3 array; skip(index) leaves a chunk unwritten. Returns its metadata."""
-    chunks = tuple(chunks or value.shape)
-    codecs = codecs or [{"name": "bytes", "configuration": {"endian": "little"}}]
+def _describe(root: str, name: str, shape: tuple[int, ...], dtype: np.dtype, dims: list | None, chunks: tuple[int, ...], fill: object, attrs: dict | None, codecs: list[dict], **more: object) -> dict:
     json_fill = fill if isinstance(fill, str) else "NaN" if isinstance(fill, float) and fill != fill else fill
-    meta = {"zarr_format": 3, "node_type": "array", "shape": list(value.shape), "data_type": _NAME[value.dtype.str[1:]], "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": json_fill, "codecs": codecs, "attributes": attrs or {}, **more}
+    meta = {"zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": _NAME[dtype.str[1:]], "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": json_fill, "codecs": codecs, "attributes": attrs or {}, **more}
     if dims is not None:
         meta["dimension_names"] = dims
     _put(f"{root}/{name}/zarr.json", meta)
+    return meta
+
+
+_PLAIN = [{"name": "bytes", "configuration": {"endian": "little"}}]
+
+
+def write_array(root: str, name: str, value: np.ndarray, dims: list | None, chunks: tuple[int, ...] | None = None, fill: object = 0, attrs: dict | None = None, codecs: list[dict] | None = None, skip=None, **more: object) -> dict:  # noqa: ANN001
+    """A version 3 array; skip(index) leaves a chunk unwritten. Returns its metadata."""
+    chunks = tuple(chunks or value.shape)
+    codecs = codecs or _PLAIN
+    meta = _describe(root, name, value.shape, value.dtype, dims, chunks, fill, attrs, codecs, **more)
     pad = 0 if isinstance(fill, str) else fill
     for at, whole in _chunks(value, chunks, pad, skip):
         _put(f"{root}/{name}/c" + "".join(f"/{i}" for i in at), _encode(whole, codecs))
     return meta
 
 
+@dataclass(frozen=True)
+class Spec:
+    """An array of a grid: the column its cells come from (times as microseconds), and how it is stored.
+    compressor: for version 2 alone."""
+
+    name: str
+    column: str
+    dtype: str
+    attrs: dict | None = None
+    codecs: list | None = None
+    fill: object = 0
+    compressor: dict | None = None
+
+
+def numbered(df: DataFrame, folder: str, order: str | None = None) -> DataFrame:
+    """df with `i`, the place of each row from 0, by `order` if given. Rows are written once to the
+    shared folder, so that places hold; the driver sees one count a partition."""
+    df = df if order is None else df.repartitionByRange(order).sortWithinPartitions(order)
+    path = f"{folder}/rows-{uuid.uuid4().hex}"
+    df.withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    kept = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_m", 33))
+    start, rows = 0, []
+    for part, n in sorted(map(tuple, kept.groupBy("_part").count().collect())):
+        rows.append((part, start))
+        start += n
+    starts = df.sparkSession.createDataFrame(rows, "_part long, _start long")
+    return kept.join(F.broadcast(starts), "_part").withColumn("i", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_start")
+
+
+def write_grid(df: DataFrame, root: str, dims: list[str], index: list[str], shape: tuple[int, ...], chunks: tuple[int, ...], arrays: list[Spec], version: int = 3) -> None:
+    """Arrays of one shape from rows of cells; index names the columns with a cell's places. Chunks
+    without a cell are not written. A task holds one chunk's rows."""
+    for a in arrays:
+        if version == 3:
+            _describe(root, a.name, shape, np.dtype(a.dtype), dims, chunks, a.fill, a.attrs, a.codecs or _PLAIN)
+        else:
+            meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": np.dtype(a.dtype).str, "compressor": a.compressor, "filters": None, "fill_value": None, "order": "C", "dimension_separator": "."}
+            _put(f"{root}/{a.name}/.zarray", meta)
+            _put(f"{root}/{a.name}/.zattrs", {"_ARRAY_DIMENSIONS": dims, **(a.attrs or {})})
+    chunk = [F.floor(F.col(i) / c).cast("long").alias(f"_c{k}") for k, (i, c) in enumerate(zip(index, chunks))]
+
+    def put(cells):  # noqa: ANN001, ANN202
+        at = tuple(int(cells[f"_c{k}"].iloc[0]) for k in range(len(chunks)))
+        place = tuple(cells[f"_i{k}"].to_numpy() - at[k] * chunks[k] for k in range(len(chunks)))
+        for a in arrays:
+            value = cells[a.column].to_numpy()
+            value = value.astype("datetime64[us]").astype("i8") if value.dtype.kind == "M" else value
+            whole = np.full(chunks, a.fill, a.dtype)
+            whole[place] = value.astype(a.dtype)
+            if version == 3:
+                _put(f"{root}/{a.name}/c" + "".join(f"/{i}" for i in at), _encode(whole, a.codecs or _PLAIN))
+            else:
+                data, kind = whole.tobytes(), (a.compressor or {}).get("id")
+                data = zlib.compress(data) if kind == "zlib" else blosc_lz4(data, whole.dtype.itemsize) if kind == "blosc" else data
+                _put(f"{root}/{a.name}/{'.'.join(map(str, at))}", data)
+        return cells.iloc[:1][["_c0"]]
+
+    places: list[Column] = [F.col(i).alias(f"_i{k}") for k, i in enumerate(index)]
+    rows = df.select(*chunk, *places, *dict.fromkeys(a.column for a in arrays))
+    rows.groupBy(*[f"_c{k}" for k in range(len(chunks))]).applyInPandas(put, "_c0 long").write.format("noop").mode("overwrite").save()
+
+
 def write_v2_group(root: str) -> None:
     _put(f"{root}/.zgroup", {"zarr_format": 2})
 
