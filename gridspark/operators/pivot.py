@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from ..plans.tables import Column, Table
-from ..sources.arrays import read_chunk, read_slice
+from ..sources.arrays import ChunkCache, read_chunk, read_slice
 
 #: Rows of a batch at most, so that a large chunk's rows never stand in memory at once.
 BATCH_ROWS = 65_536
@@ -42,9 +42,10 @@ def decoded(raw: np.ndarray, column: Column) -> pa.Array:
     return pa.array(raw, mask=mask)
 
 
-def chunk_batches(store, table: Table, columns: tuple[Column, ...], index: tuple[int, ...]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def chunk_batches(store, table: Table, columns: tuple[Column, ...], index: tuple[int, ...], cache: ChunkCache | None = None) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """The rows of one chunk, row-major over the part inside the array. Only the columns asked for
-    are read: data chunks for data columns, slices of coordinates for coordinates."""
+    are read: data chunks for data columns, slices of coordinates for coordinates, whose chunks a cache
+    keeps for the next chunk."""
     clip = tuple(min(c, n - i * c) for i, c, n in zip(index, table.chunks, table.shape))
     total = prod(clip)
     sides: dict[int, pa.Array] = {}
@@ -55,7 +56,7 @@ def chunk_batches(store, table: Table, columns: tuple[Column, ...], index: tuple
         else:
             a = index[c.dim] * table.chunks[c.dim]
             z = a + clip[c.dim]
-            sides[c.dim] = pa.array(np.arange(a, z, dtype=np.int64)) if c.meta is None else decoded(read_slice(store, c.meta, a, z), c)
+            sides[c.dim] = pa.array(np.arange(a, z, dtype=np.int64)) if c.meta is None else decoded(read_slice(store, c.meta, a, z, cache), c)
     steps = [prod(clip[d + 1 :]) for d in range(len(clip))]
     names = [c.name for c in columns]
     for a in range(0, total, BATCH_ROWS):

@@ -54,8 +54,20 @@ def compact(value: object) -> str:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-def load_all(store) -> dict[str, ArrayMeta]:  # noqa: ANN001
-    return {n: load_meta(store, n) for n in store.array_names()}
+def load_all(store, names: list[str] | None = None) -> dict[str, ArrayMeta]:  # noqa: ANN001
+    return {n: load_meta(store, n) for n in (store.array_names() if names is None else names)}
+
+
+def load_one(store, names: list[str], name: str) -> dict[str, ArrayMeta]:  # noqa: ANN001
+    """An array and what can be coordinates of it. Others are not parsed: they may be beyond reading."""
+    meta = load_meta(store, name)
+    asked = [p for d in meta.dims or () for p in _places(meta, d) if p in names and p != name]
+    return {name: meta} | load_all(store, list(dict.fromkeys(asked)))
+
+
+def _places(data: ArrayMeta, dim: str) -> tuple[str, str]:
+    """Where a dimension's values may be: beside the array, or at the root."""
+    return f"{data.name.rsplit('/', 1)[0]}/{dim}" if "/" in data.name else dim, dim
 
 
 def _texts(metas: dict[str, ArrayMeta], attr: str) -> list[str]:
@@ -99,8 +111,7 @@ def dims_of(meta: ArrayMeta) -> tuple[str, ...]:
 
 def coordinate(metas: dict[str, ArrayMeta], data: ArrayMeta, dim: str) -> ArrayMeta | None:
     """The array of a dimension's values: beside the data array, else at the root."""
-    beside = f"{data.name.rsplit('/', 1)[0]}/{dim}" if "/" in data.name else dim
-    for name in (beside, dim):
+    for name in _places(data, dim):
         m = metas.get(name)
         if m is not None and len(m.shape) == 1 and m.dims == (dim,):
             return m
@@ -189,29 +200,31 @@ def parse_dims(dims: str | list | tuple | None) -> tuple[str, ...] | None:
 
 def one_name(array: str | None, array_path: str | None) -> str | None:
     if array is not None and array_path is not None:
-        raise ZarrError('use either array_path= or "array"=, not both')
+        raise ZarrError("array and array_path mean the same: give one of them, not both")
     return array if array_path is None else array_path
 
 
-def selected(metas: dict[str, ArrayMeta], asked: str) -> str:
+def selected(names: list[str], asked: str) -> str:
     name = asked.strip().strip("/")
-    if name not in metas:
-        raise ZarrError(f"array '{asked}' not found; available arrays: {compact(list(metas))}")
+    if name not in names:
+        raise ZarrError(f"array '{asked}' not found; available arrays: {compact(names)}")
     return name
 
 
 def choose(store, path: str, dims=None, array: str | None = None, array_path: str | None = None) -> Table:  # noqa: ANN001
     """The table that a request means."""
     wanted, name = parse_dims(dims), one_name(array, array_path)
-    metas = load_all(store)
-    if not metas:
+    names = store.array_names()
+    if not names:
         raise ZarrError(f"no Zarr arrays found in '{path}'")
     if name is not None:
-        meta = metas[selected(metas, name)]
+        metas = load_one(store, names, selected(names, name))
+        meta = next(iter(metas.values()))
         own = dims_of(meta) if meta.shape or meta.dims is not None else ()
         if wanted is not None and wanted != own:
             raise ZarrError(f"array '{meta.name}' has dimensions {compact(own)}, not {compact(wanted)}")
         return _table(metas, [meta])
+    metas = load_all(store, names)
     found = groups(metas)
     if not found:
         raise ZarrError(f"no data variables found in '{path}'")
@@ -220,7 +233,7 @@ def choose(store, path: str, dims=None, array: str | None = None, array_path: st
             raise ZarrError(f"'{path}': no dimension group matches dims={compact(wanted)}; available: {compact(list(found))}")
         return _table(metas, found[wanted])
     if len(found) > 1:
-        raise ZarrError(f"'{path}' contains multiple dimension groups ({len(found)}) {compact(list(found))}; use dims= to select a compatible group or array_path= to select one array")
+        raise ZarrError(f"'{path}' contains multiple dimension groups, {compact(list(found))}: name the dimensions of one in dims, or a single array in array_path")
     return _table(metas, next(iter(found.values())))
 
 
@@ -229,14 +242,33 @@ GROUPS = T.StructType([T.StructField(n, T.StringType()) for n in ("dims", "shape
 
 
 def metadata_rows(store, array: str | None = None, array_path: str | None = None) -> list[tuple[str, ...]]:  # noqa: ANN001
-    """One row an array. Narrowed to one array, roles follow from that array alone."""
-    metas, name = load_all(store), one_name(array, array_path)
+    """One row an array. Narrowed to one array, roles follow from that array alone. Arrays that can't be
+    read are shown as far as their metadata goes."""
+    names, name = store.array_names(), one_name(array, array_path)
     if name is not None:
-        name = selected(metas, name)
-        metas = {name: metas[name]}
+        names = [selected(names, name)]
+    metas: dict[str, ArrayMeta] = {}
+    broken: dict[str, tuple[str, ...]] = {}
+    for n in names:
+        try:
+            metas[n] = load_meta(store, n)
+        except ZarrError:
+            broken[n] = _as_it_is(store, n)
     aux = auxiliary(metas)
     bound = bounds(metas, aux)
-    return [(m.name, compact(m.dims or ()), m.kind, compact(m.shape), compact(m.chunks if m.shape else ()), compact(m.attrs), role(m, aux, bound)) for m in metas.values()]
+    rows = [(m.name, compact(m.dims or ()), m.kind, compact(m.shape), compact(m.chunks if m.shape else ()), compact(m.attrs), role(m, aux, bound)) for m in metas.values()]
+    return sorted([*rows, *broken.values()]) if broken else rows
+
+
+def _as_it_is(store, name: str) -> tuple[str, ...]:  # noqa: ANN001
+    """The row of an array that can't be parsed."""
+    try:
+        raw = json.loads(store.get(f"{name}/zarr.json") or store.get(f"{name}/.zarray") or b"{}")
+    except ValueError:
+        raw = {}
+    raw = raw if isinstance(raw, dict) else {}
+    kind = raw.get("data_type", raw.get("dtype", ""))
+    return (name, compact(raw.get("dimension_names") or []), kind if isinstance(kind, str) else compact(kind), compact(raw.get("shape") or []), "[]", compact(raw.get("attributes") or {}), "data")
 
 
 def group_rows(store) -> list[tuple[str, ...]]:  # noqa: ANN001

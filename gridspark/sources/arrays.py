@@ -102,14 +102,20 @@ def parse_v2(name: str, meta: dict, attrs: dict) -> ArrayMeta:
 
 
 def load_meta(store, name: str) -> ArrayMeta:  # noqa: ANN001
-    found = store.get(f"{name}/zarr.json")
-    if found is not None:
-        return parse_v3(name, json.loads(found))
-    found = store.get(f"{name}/.zarray")
+    found, two = store.get(f"{name}/zarr.json"), None
     if found is None:
-        raise ZarrError(f"array '{name}' has no metadata")
-    attrs = store.get(f"{name}/.zattrs")
-    return parse_v2(name, json.loads(found), json.loads(attrs) if attrs else {})
+        two = store.get(f"{name}/.zarray")
+        if two is None:
+            raise ZarrError(f"array '{name}' has no metadata")
+    try:
+        if two is None:
+            return parse_v3(name, json.loads(found))
+        attrs = store.get(f"{name}/.zattrs")
+        return parse_v2(name, json.loads(two), json.loads(attrs) if attrs else {})
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        if isinstance(e, ZarrError):
+            raise
+        raise ZarrError(f"the metadata of array '{name}' can't be read: {e!r}") from e
 
 
 _CRC_TABLE: np.ndarray | None = None
@@ -191,24 +197,36 @@ def decode_v3(data: bytes, codecs: tuple, shape: tuple[int, ...], dtype: np.dtyp
     return value.astype(dtype, copy=False)
 
 
-def _shard(data: bytes, given: dict, shape: tuple[int, ...], dtype: np.dtype, fill: np.generic) -> np.ndarray:
+def _shard_index(given: dict, shape: tuple[int, ...], take) -> np.ndarray | None:  # noqa: ANN001
+    """Offset and length of each inner chunk; take(start, length) gives bytes of the shard."""
+    counts = tuple(n // c for n, c in zip(shape, given["chunk_shape"]))
+    codecs = tuple(given.get("index_codecs") or ({"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}))
+    size = prod(counts) * 16 + 4 * sum(_name(c)[0] == "crc32c" for c in codecs)
+    raw = take(0 if given.get("index_location", "end") == "start" else -size, size)
+    return None if raw is None else decode_v3(raw, codecs, (*counts, 2), np.dtype("<u8"), np.uint64(0))
+
+
+def _shard_part(given: dict, index: np.ndarray, take, region: tuple[slice, ...], dtype: np.dtype, fill: np.generic) -> np.ndarray:  # noqa: ANN001
+    """A region of a shard, from the inner chunks that it meets."""
     inner = tuple(given["chunk_shape"])
-    counts = tuple(n // c for n, c in zip(shape, inner))
-    index_codecs = tuple(given.get("index_codecs") or ({"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}))
-    size = prod(counts) * 16 + 4 * sum(_name(c)[0] == "crc32c" for c in index_codecs)
-    raw = data[:size] if given.get("index_location", "end") == "start" else data[-size:]
-    index = decode_v3(raw, index_codecs, (*counts, 2), np.dtype("<u8"), np.uint64(0))
-    out = np.full(shape, fill, dtype)
+    out = np.full(tuple(r.stop - r.start for r in region), fill, dtype)
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for at in product(*map(range, counts)):
+    for at in product(*[range(r.start // c, -(-r.stop // c)) for r, c in zip(region, inner)]):
         offset, length = index[at]
         if offset == none and length == none:
             continue
-        part = decode_v3(data[int(offset) : int(offset + length)], tuple(given["codecs"]), inner, dtype, fill)
-        out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, inner))] = part
+        part = decode_v3(take(int(offset), int(length)), tuple(given["codecs"]), inner, dtype, fill)
+        low = [max(r.start, i * c) for r, i, c in zip(region, at, inner)]
+        high = [min(r.stop, (i + 1) * c) for r, i, c in zip(region, at, inner)]
+        out[tuple(slice(a - r.start, z - r.start) for a, z, r in zip(low, high, region))] = part[tuple(slice(a - i * c, z - i * c) for a, z, i, c in zip(low, high, at, inner))]
     return out
 
 
+def _shard(data: bytes, given: dict, shape: tuple[int, ...], dtype: np.dtype, fill: np.generic) -> np.ndarray:
+    take = lambda start, length: data[start:][:length]
+    return _shard_part(given, _shard_index(given, shape, take), take, tuple(slice(0, n) for n in shape), dtype, fill)
+
+
 def decode_v2(data: bytes, meta: ArrayMeta, dtype: np.dtype) -> np.ndarray:
     filters, compressor, endian = meta.codecs
     if compressor is not None:
@@ -219,26 +237,60 @@ def decode_v2(data: bytes, meta: ArrayMeta, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(data, kind, prod(meta.chunks)).reshape(meta.chunks, order=meta.order).astype(dtype, copy=False)
 
 
-def read_chunk(store, meta: ArrayMeta, index: tuple[int, ...]) -> np.ndarray:  # noqa: ANN001
-    """The part of a chunk inside the array; a chunk that was never written has the fill value."""
-    clip = tuple(min(c, n - i * c) for i, c, n in zip(index, meta.chunks, meta.shape))
-    dtype, data = meta.dtype(), store.get(meta.key(index))
-    if data is None:
-        # a machine that doesn't see the store's folder must not take that for chunks never written
-        own = f"{meta.name}/{'.zarray' if meta.version == 2 else 'zarr.json'}"
-        if isinstance(store, LocalStore) and store.get(own) is None:
-            raise ZarrError(f"array '{meta.name}', chunk {index}: no '{own}' under '{store.root}' on this machine; local stores must be in a folder that all executors share")
-        return np.full(clip, meta.fill_value(), dtype)
+def read_chunk(store, meta: ArrayMeta, index: tuple[int, ...], region: tuple[slice, ...] | None = None) -> np.ndarray:  # noqa: ANN001
+    """The part of a chunk inside the array, or a region of it; a chunk that was never written has the
+    fill value. Of a shard, the inner chunks that are not asked for are neither fetched nor decoded."""
+    region = region or tuple(slice(0, min(c, n - i * c)) for i, c, n in zip(index, meta.chunks, meta.shape))
+    dtype, key = meta.dtype(), meta.key(index)
     try:
-        whole = decode_v2(data, meta, dtype) if meta.version == 2 else decode_v3(data, meta.codecs, meta.chunks, dtype, meta.fill_value())
+        name, given = _name(meta.codecs[0]) if meta.version == 3 and len(meta.codecs) == 1 else ("", {})
+        if name == "sharding_indexed" and any(r.start >= c or r.stop <= n - c for r, c, n in zip(region, given["chunk_shape"], meta.chunks)):
+            take = lambda start, length: store.get_range(key, start, length)
+            where = _shard_index(given, meta.chunks, take)
+            return _unwritten(store, meta, index, region) if where is None else _shard_part(given, where, take, region, dtype, meta.fill_value())
+        data = store.get(key)
+        if data is None:
+            return _unwritten(store, meta, index, region)
+        return (decode_v2(data, meta, dtype) if meta.version == 2 else decode_v3(data, meta.codecs, meta.chunks, dtype, meta.fill_value()))[region]
     except ZarrError as e:
         raise ZarrError(f"array '{meta.name}', chunk {index}: {e}") from e
-    return whole[tuple(slice(0, n) for n in clip)]
 
 
-def read_slice(store, meta: ArrayMeta, start: int, stop: int) -> np.ndarray:  # noqa: ANN001
-    """Elements start to stop of an array of one dimension; only their chunks are read."""
+def _unwritten(store, meta: ArrayMeta, index: tuple[int, ...], region: tuple[slice, ...]) -> np.ndarray:  # noqa: ANN001
+    # a machine that doesn't see the store's folder must not take that for chunks never written
+    own = f"{meta.name}/{'.zarray' if meta.version == 2 else 'zarr.json'}"
+    if isinstance(store, LocalStore) and store.get(own) is None:
+        raise ZarrError(f"no '{own}' under '{store.root}' on this machine; local stores must be in a folder that all executors share")
+    return np.full(tuple(r.stop - r.start for r in region), meta.fill_value(), meta.dtype())
+
+
+class ChunkCache:
+    """Decoded chunks of coordinates that a task reads again and again, the latest ones: up to `most`
+    bytes, or one chunk."""
+
+    def __init__(self, most: int = 32 << 20):
+        self.most, self.held, self.size = most, {}, 0
+
+    def read(self, store, meta: ArrayMeta, index: tuple[int, ...]) -> np.ndarray:  # noqa: ANN001
+        key = meta.name, index
+        if key in self.held:
+            value = self.held.pop(key)
+        else:
+            value = np.ascontiguousarray(read_chunk(store, meta, index))
+            self.size += value.nbytes
+        self.held[key] = value
+        while self.size > self.most and len(self.held) > 1:
+            self.size -= self.held.pop(next(iter(self.held))).nbytes
+        return value
+
+
+def read_slice(store, meta: ArrayMeta, start: int, stop: int, cache: ChunkCache | None = None) -> np.ndarray:  # noqa: ANN001
+    """Elements start to stop of an array of one dimension; only their chunks are read, once with a
+    cache, and only their inner chunks of shards."""
     size = meta.chunks[0]
-    parts = [read_chunk(store, meta, (i,)) for i in range(start // size, -(-stop // size))]
-    joined = np.concatenate(parts) if parts else np.empty(0, meta.dtype())
-    return joined[start - start // size * size :][: stop - start]
+    sharded = meta.version == 3 and len(meta.codecs) == 1 and _name(meta.codecs[0])[0] == "sharding_indexed"
+    parts = []
+    for i in range(start // size, -(-stop // size)):
+        region = (slice(max(0, start - i * size), min(size, stop - i * size, meta.shape[0] - i * size)),)
+        parts.append(cache.read(store, meta, (i,))[region] if cache is not None and not sharded else read_chunk(store, meta, (i,), region))
+    return np.concatenate(parts) if parts else np.empty(0, meta.dtype())

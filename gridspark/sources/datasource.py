@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..errors import ZarrError
 from ..plans.tables import Column, Table, choose
+from .arrays import ChunkCache
 from .stores import open_store
 
 #: Decoded bytes of a partition, and partitions of a scan, about.
@@ -55,11 +56,11 @@ class ZarrReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         from ..operators.pivot import chunk_batches
 
-        axes = self._axes()
+        axes, cache = self._axes(), ChunkCache()
         sizes = tuple(len(a) for a in axes)
         for n in range(partition.start, partition.stop):
             at = np.unravel_index(n, sizes) if sizes else ()
-            yield from chunk_batches(self.store, self.table, self.columns, tuple(int(a[i]) for a, i in zip(axes, at)))
+            yield from chunk_batches(self.store, self.table, self.columns, tuple(int(a[i]) for a, i in zip(axes, at)), cache)
 
 
 class ZarrDataSource(DataSource):

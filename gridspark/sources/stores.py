@@ -31,6 +31,15 @@ class LocalStore:
         except (FileNotFoundError, NotADirectoryError):
             return None
 
+    def get_range(self, key: str, start: int, length: int) -> bytes | None:
+        """Bytes start to start + length of a key; from the end if start is negative."""
+        try:
+            with open(os.path.join(self.root, *key.split("/")), "rb") as f:
+                f.seek(max(start, -os.fstat(f.fileno()).st_size), os.SEEK_END if start < 0 else os.SEEK_SET)
+                return f.read(length)
+        except (FileNotFoundError, NotADirectoryError):
+            return None
+
     def array_names(self) -> list[str]:
         """Arrays at any depth, by name. Arrays end the descent; links to folders are not followed."""
         if not os.path.isdir(self.root):
@@ -52,38 +61,64 @@ class LocalStore:
         return sorted(found)
 
 
+_DOCUMENTS = ("zarr.json", ".zarray", ".zattrs", ".zgroup")
+
+
 class _Listed:
-    """A store that can't be walked: its arrays come from consolidated metadata."""
+    """A store that can't be walked: its arrays come from consolidated metadata, which is read once.
+    From then on no array's own metadata is asked for."""
 
     where = ""
+    _documents: dict[str, bytes] | None = None
 
-    def get(self, key: str) -> bytes | None:
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_documents"}
+
+    def fetch(self, key: str, start: int = 0, length: int | None = None) -> bytes | None:
+        """The bytes of a key, or of a part of it."""
         raise NotImplementedError
 
-    def consolidated(self) -> dict[str, dict]:
-        """Array name -> its metadata document (v3), or its .zarray (v2)."""
-        root = self.get("zarr.json")
+    def get(self, key: str) -> bytes | None:
+        if self._documents is not None and key.rsplit("/", 1)[-1] in _DOCUMENTS:
+            return self._documents.get(key)
+        return self.fetch(key)
+
+    def get_range(self, key: str, start: int, length: int) -> bytes | None:
+        """Bytes start to start + length of a key; from the end if start is negative."""
+        return self.fetch(key, start, length)
+
+    def consolidated(self) -> dict[str, bytes]:
+        """Key -> metadata document, of all arrays."""
+        root = self.fetch("zarr.json")
         if root is not None:
             inner = (json.loads(root).get("consolidated_metadata") or {}).get("metadata")
             if inner is not None:
-                return {k.strip("/"): v for k, v in inner.items() if v.get("node_type") == "array"}
-        flat = self.get(".zmetadata")
+                return {f"{k.strip('/')}/zarr.json": json.dumps(v).encode() for k, v in inner.items() if v.get("node_type") == "array"}
+        flat = self.fetch(".zmetadata")
         if flat is not None:
-            return {k[: -len("/.zarray")]: v for k, v in json.loads(flat).get("metadata", {}).items() if k.endswith("/.zarray")}
+            return {k: json.dumps(v).encode() for k, v in json.loads(flat).get("metadata", {}).items()}
         raise ZarrError(f"remote store '{self.where}' has no consolidated metadata in zarr.json or .zmetadata; write it again with consolidated metadata")
 
     def array_names(self) -> list[str]:
-        return sorted(self.consolidated())
+        if self._documents is None:
+            self._documents = self.consolidated()
+        return sorted(k.rsplit("/", 1)[0] for k in self._documents if k.endswith(("/zarr.json", "/.zarray")))
 
 
 class HttpStore(_Listed):
     def __init__(self, root: str, timeout: float = 60.0):
         self.where, self.timeout = root.rstrip("/"), timeout
 
-    def get(self, key: str) -> bytes | None:
+    def fetch(self, key: str, start: int = 0, length: int | None = None) -> bytes | None:
+        ask = urllib.request.Request(f"{self.where}/{urllib.parse.quote(key)}")
+        if length is not None:
+            ask.add_header("Range", f"bytes={start}" if start < 0 else f"bytes={start}-{start + length - 1}")
         try:
-            with urllib.request.urlopen(f"{self.where}/{urllib.parse.quote(key)}", timeout=self.timeout) as answer:
-                return answer.read()
+            with urllib.request.urlopen(ask, timeout=self.timeout) as answer:
+                data = answer.read()
+                if length is None or answer.status == 206:
+                    return data
+                return data[start:][:length]  # the server doesn't know ranges
         except urllib.error.HTTPError as e:
             if e.code in (404, 410):
                 return None
@@ -98,7 +133,7 @@ class FileSystemStore(_Listed):
         self._open = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_open": None}
+        return {**super().__getstate__(), "_open": None}
 
     def _files(self):  # noqa: ANN202
         if self._open is None:
@@ -115,11 +150,15 @@ class FileSystemStore(_Listed):
                 self._open = fs.FileSystem.from_uri(self.where)
         return self._open
 
-    def get(self, key: str) -> bytes | None:
+    def fetch(self, key: str, start: int = 0, length: int | None = None) -> bytes | None:
         files, root = self._files()
         try:
-            with files.open_input_stream(f"{root}/{key}") as f:
-                return f.read()
+            if length is None:
+                with files.open_input_stream(f"{root}/{key}") as f:
+                    return f.read()
+            with files.open_input_file(f"{root}/{key}") as f:
+                f.seek(max(0, f.size() + start) if start < 0 else start)
+                return f.read(length)
         except FileNotFoundError:
             return None
 

@@ -343,3 +343,92 @@ def test_a_store_out_of_sight_is_no_fill(tmp_path):
         os.rename(path, f"{path}-away")
         with pytest.raises(ZarrError, match="all executors share"):
             arrays.read_chunk(store, meta, (1,))
+
+
+def test_an_array_that_cannot_be_read_beside_the_one_asked_for(spark, tmp_path):
+    p = f"{tmp_path}/mixed.zarr"
+    W.write_group(p)
+    W.write_array(p, "x", np.arange(3) * 2, ["x"])
+    W.write_array(p, "good", np.array([1, 2, 3]), ["x"])
+    W.write_array(p, "odd", np.arange(3), ["x"], chunk_grid={"name": "rectilinear", "configuration": {}})
+    os.makedirs(f"{p}/torn")
+    with open(f"{p}/torn/zarr.json", "w") as f:
+        f.write("{\"node_type\": \"array\", \"shape\": 7}")
+    assert rows(gridspark.read_zarr(spark, p, array_path="good")) == [(0, 1), (2, 2), (4, 3)]
+    with pytest.raises(ZarrError, match="rectilinear"):
+        gridspark.read_zarr(spark, p)
+    with pytest.raises(ZarrError, match="rectilinear"):
+        gridspark.read_zarr(spark, p, array_path="odd")
+    got = {r["name"]: r for r in gridspark.read_zarr_metadata(spark, p).collect()}
+    assert set(got) == {"x", "good", "odd", "torn"} and (got["odd"]["dtype"], got["odd"]["shape"], got["odd"]["dims"]) == ("int64", "[3]", '["x"]')
+
+
+def test_consolidated_metadata_is_read_once(tmp_path):
+    from gridspark.sources.stores import HttpStore
+
+    p = f"{tmp_path}/many.zarr"
+    W.consolidate(p, {f"a{i}": W.write_array(p, f"a{i}", np.arange(3), ["x"]) for i in range(40)} | {"x": W.write_array(p, "x", np.arange(3), ["x"])})
+    asked = []
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def __init__(self, *a):
+            super().__init__(*a, directory=str(tmp_path))
+
+        def do_GET(self):
+            asked.append(self.path)
+            super().do_GET()
+
+        def log_message(self, *a):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        store = HttpStore(f"http://127.0.0.1:{server.server_port}/many.zarr")
+        table = tables.choose(store, "many")
+        assert len(table.columns) == 41 and asked == ["/many.zarr/zarr.json"]
+        assert len(tables.metadata_rows(store)) == 41 and len(asked) == 1
+        assert store.get_range("x/c/0", 8, 8) == np.array([1], "<i8").tobytes() and store.get_range("x/c/0", -8, 8) == np.array([2], "<i8").tobytes()
+        server.shutdown()
+
+
+def test_parts_of_shards(tmp_path):
+    """Only the index and the inner chunks that are asked for are fetched; coordinates once a task."""
+    p = f"{tmp_path}/shards.zarr"
+    inner = [BYTES, {"name": "gzip", "configuration": {"level": 1}}]
+    W.write_group(p)
+    for where in ("start", "end"):
+        value = np.random.default_rng(1).integers(1, 1 << 60, 40_000)
+        W.write_array(p, where, value, ["x"], (40_000,), codecs=[{"name": "sharding_indexed", "configuration": {"chunk_shape": [1000], "codecs": inner, "index_location": where}}])
+        two = np.random.default_rng(2).integers(1, 9, (30, 70))
+        W.write_array(p, f"{where}2", two, ["y", "z"], (40, 80), codecs=[{"name": "sharding_indexed", "configuration": {"chunk_shape": [10, 20], "codecs": inner, "index_location": where}}])
+        store = open_store(p)
+        read = []
+        whole, part = store.get, store.get_range
+        store.get = lambda k: read.append(len(d := whole(k) or b"")) or d or None
+        store.get_range = lambda k, a, n: read.append(len(d := part(k, a, n))) or d
+        metas = {n: arrays.load_meta(open_store(p), n) for n in (where, f"{where}2")}
+        assert (arrays.read_slice(store, metas[where], 12_300, 13_700) == value[12_300:13_700]).all()
+        assert sum(read) < 20_000 < os.path.getsize(f"{p}/{where}/c/0") and len(read) == 3
+        assert (arrays.read_slice(store, metas[where], 0, 40_000) == value).all()
+        assert (arrays.read_chunk(store, metas[f"{where}2"], (0, 0)) == two).all()
+        assert (arrays.read_chunk(store, metas[f"{where}2"], (0, 0), (slice(5, 17), slice(39, 41))) == two[5:17, 39:41]).all()
+    W.write_array(p, "flat", np.arange(100), ["x"], (40,))
+    meta, cache = arrays.load_meta(open_store(p), "flat"), arrays.ChunkCache(700)
+    read.clear()
+    for a in (0, 10, 20, 35, 60, 90, 0):
+        assert arrays.read_slice(store, meta, a, min(100, a + 10), cache).tolist() == list(range(a, min(100, a + 10)))
+    assert len(read) == 4 and len(cache.held) == 2
+
+
+def test_views_leave_arrays_undecoded(spark, tmp_path):
+    p = f"{tmp_path}/view.zarr"
+    W.write_group(p)
+    W.write_array(p, "x", np.arange(4), ["x"])
+    W.write_array(p, "good", np.arange(4), ["x"])
+    W.write_array(p, "bad", np.arange(4), ["x"], codecs=[BYTES, {"name": "zstd"}])
+    with open(f"{p}/bad/c/0", "wb") as f:
+        f.write(b"broken")
+    gridspark.register(spark)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY VIEW part USING zarr OPTIONS (path '{p}', columns '["good","x"]')""")
+    assert spark.sql("SELECT sum(good), max(x) FROM part").first() == (6, 3)
+    assert gridspark.read_zarr(spark, p, columns=["good"]).agg({"good": "sum"}).first()[0] == 6
