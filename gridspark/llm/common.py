@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,36 +24,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bound the size of Arrow batches and make the package importable on executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_RECORDS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MAX_BYTES_PER_BATCH))
+    """Bound the size of Arrow batches and make the package importable on executors. The bounds are
+    settings of the session: results are lazy, so they must still hold when the caller runs them.
+    Smaller ones that the caller has set stay."""
+    for name, most in (("maxRecordsPerBatch", MAX_RECORDS_PER_BATCH), ("maxBytesPerBatch", MAX_BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
     ship(spark)
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared checkpoint folder and read from there.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local
-    mode) a local one is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only where spark.checkpoint.dir is unset, and all runs on one
+    machine (tests), a local one is set."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_TABLES: set[str] = set()
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a compressed Parquet table in the shared checkpoint folder, read from there."""
+    """df as a compressed Parquet table in the shared checkpoint folder, read from there. Results are
+    lazy and may read it at any time, so it goes when the program ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _TABLES:
+        jvm = spark.sparkContext._jvm
+        atexit.register(lambda: [_delete(jvm, p) for p in _TABLES])
+    _TABLES.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(jvm, path: str) -> None:  # noqa: ANN001
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # noqa: BLE001, S110  the machine behind it may have ended before
+        pass
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Strings of an Arrow column, null as the empty string."""
     return [x or "" for x in column.to_pylist()]
