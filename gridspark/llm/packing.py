@@ -34,7 +34,9 @@ MEMO_ENTRIES, MEMO_LENGTH = 600_000, 64
 _ODD = "\x1c\x1d\x1e\x1f"
 #: The tokenizer's own split, for lower-case text below U+0180.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]++|[{_N}]|[^{_S}{_L}{_N}]++")
+_PIECE = re.compile(rf"[{_L}]++|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]++")
+#: The same for ASCII text.
+_ASCII = re.compile(r"[a-z]++|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9]++")
 _BEYOND = re.compile("[^\x00-ſ]")
 
 
@@ -54,33 +56,45 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece, each of them one
+        for token, i in vocabulary.items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The same for pieces of the split, all in one text and told apart by the ids that end one."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            return self._library(pieces)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:z] for a, z in zip([0, *ends], ends)]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if text.isascii() or not _BEYOND.search(text):
+        fetch = self._pieces
+        if text.isascii():
+            words = _ASCII.findall(text.lower())
+        elif not _BEYOND.search(text):
             words = _PIECE.findall(text.lower())
         elif any(c in text for c in _ODD):
             return self._library([text])[0]
         else:
-            words = text.split()
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        distinct = set(words)
-        local = {w: memo[w] for w in distinct if w in memo}
-        new = [w for w in distinct if w not in local]
-        for w, ids in zip(new, self._library(new)):
-            local[w] = ids
-            if len(w) <= MEMO_LENGTH:
-                memo[w] = ids
-        return b"".join(map(local.__getitem__, words))
+            words, fetch = text.split(), self._library
+        found = list(map(self.memo.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = list(dict.fromkeys([words[i] for i in missing]))
+            made = dict(zip(new, fetch(new)))
+            for i in missing:
+                found[i] = made[words[i]]
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo.clear()
+            self.memo.update((w, ids) for w, ids in made.items() if len(w) <= MEMO_LENGTH)
+        return b"".join(found)
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("part", pa.int64()), ("at", pa.int64())])
