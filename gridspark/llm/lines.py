@@ -211,15 +211,18 @@ def _emit_keys(k: int):  # noqa: ANN202
 
 def _where(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict = {f.name: [] for f in _WHERE}
+        line: list[int] = []
+        docs: list[int | None] = []
+        rows: list[int] = []
+        at: list[int] = []
         for doc, text in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
-            row = None
-            for n, line in _lines(text):
-                if row is None:
-                    row = _row_key(doc, text.encode())
-                for name, value in zip(_WHERE.names, (_hash(line), doc, row, n)):
-                    out[name].append(value)
-        yield common.batch(_WHERE, out)
+            own = list(_lines(text))
+            if own:
+                line += [_hash(x) for _, x in own]
+                docs += [doc] * len(own)
+                rows += [_row_key(doc, text.encode())] * len(own)
+                at += [n for n, _ in own]
+        yield common.batch(_WHERE, {"line": line, "doc_id": docs, "row": rows, "at": at})
 
 
 #: Out of sorted keys: pairs of lines (key null), or lines of a crowded key (b null).
