@@ -36,23 +36,23 @@ def _lineitem(root: str, t: DataFrame, base: str) -> None:
     cells = rows.select("*", F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"), F.ascii("l_returnflag").alias("flag"), F.ascii("l_linestatus").alias("status"))
     plain = [("orderkey", "l_orderkey", "i8"), ("partkey", "l_partkey", "i8"), ("suppkey", "l_suppkey", "i8"), ("linenumber", "l_linenumber", "i4"), ("quantity", "l_quantity", "f8"), ("price", "l_extendedprice", "f8"), ("shipdate", "l_shipdate", "i8"), ("returnflag", "flag", "u1"), ("linestatus", "status", "u1")]
     arrays = [Spec(*x, codecs=_ZSTD) for x in plain] + [Spec("discount", "discount", "i2", {"scale_factor": 0.01}, _ZSTD), Spec("tax", "tax", "i2", {"scale_factor": 0.01, "missing_value": 0}, _ZSTD)]
-    W.write_grid(cells, root, ["row"], ["i"], (n,), (50_000 if n > 100_000 else 7_000,), arrays)
+    W.write_grid(cells, root, ["row"], ["i"], (n,), (50_000 if n > 100_000 else 7_000,), arrays, ordered=True)
 
 
 def _embeddings(root: str, t: DataFrame, base: str) -> None:
     W.write_group(root)
-    rows = W.numbered(t.select("vec_id", "label", "embedding"), base)
+    rows = W.numbered(t, base)
     n, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    W.write_grid(rows, root, ["vec"], ["i"], (n,), (300,), [Spec("vec", "vec_id", "i8"), Spec("label", "label", "i4")])
-    W.write_grid(rows.select("i", F.posexplode("embedding").alias("d", "x")), root, ["vec", "d"], ["i", "d"], (n, width), (300, 24), [Spec("embedding", "x", "f4", codecs=_BLOSC)])
+    W.write_grid(rows, root, ["vec"], ["i"], (n,), (300,), [Spec("vec", "vec_id", "i8"), Spec("label", "label", "i4")], ordered=True)
+    W.write_grid(rows.select("i", F.posexplode("embedding").alias("d", "x")), root, ["vec", "d"], ["i", "d"], (n, width), (300, 24), [Spec("embedding", "x", "f4", codecs=_BLOSC)], ordered=True)
 
 
 def _orders(root: str, t: DataFrame, base: str) -> None:
     W.write_v2_group(root)
-    rows = W.numbered(t, base, "o_orderkey")
+    rows = W.numbered(t.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), base, "o_orderkey")
     blosc = {"id": "blosc"}
     arrays = [Spec("orderkey", "o_orderkey", "<i8", compressor={"id": "zlib"}), Spec("custkey", "o_custkey", ">i8", compressor=blosc), Spec("totalprice", "o_totalprice", "<f8", compressor=blosc), Spec("orderdate", "o_orderdate", "<i8", compressor=blosc)]
-    W.write_grid(rows, root, ["orderkey"], ["i"], (rows.count(),), (10_000,), arrays, version=2)
+    W.write_grid(rows, root, ["orderkey"], ["i"], (rows.count(),), (10_000,), arrays, version=2, ordered=True)
 
 
 def _activity(root: str, t: DataFrame, base: str) -> None:
@@ -100,7 +100,7 @@ def store(spark: SparkSession, sf_dir: str, name: str) -> str:
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
     if not shared.startswith("/") and not spark.sparkContext.master.startswith("local["):
         raise ZarrError("stores for the demo queries need a spark.checkpoint.dir that all machines see as a local folder")
-    base = os.path.join(shared if shared.startswith("/") else tempfile.gettempdir(), "gridspark-demo-" + hashlib.sha256(f"{os.getuid()} {sf_dir} {files} 4".encode()).hexdigest()[:16])
+    base = os.path.join(shared if shared.startswith("/") else tempfile.gettempdir(), "gridspark-demo-" + hashlib.sha256(f"{os.getuid()} {sf_dir} {files} 5".encode()).hexdigest()[:16])
     path = os.path.join(base, f"{name}.zarr")
     if not os.path.exists(path):
         ship(spark)

@@ -144,23 +144,27 @@ class Spec:
 
 
 def numbered(df: DataFrame, folder: str, order: str | None = None) -> DataFrame:
-    """df with `i`, the place of each row from 0, by `order` if given. Rows are written once to the
-    shared folder, so that places hold; the driver sees one count a partition."""
-    df = df if order is None else df.repartitionByRange(order).sortWithinPartitions(order)
-    path = f"{folder}/rows-{uuid.uuid4().hex}"
-    df.withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
-    kept = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_m", 33))
+    """df with `i`, the place of each row from 0. Without `order` df must be Parquet files as they are
+    read, and places are those of the rows in the files, which hold without writing anything. With
+    it rows are first written to the shared folder in that order. The driver sees one count a file."""
+    if order is not None:
+        path = f"{folder}/rows-{uuid.uuid4().hex}"
+        df.repartitionByRange(order).sortWithinPartitions(order).write.parquet(path)
+        df = df.sparkSession.read.parquet(path)
+    kept = df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
     start, rows = 0, []
-    for part, n in sorted(map(tuple, kept.groupBy("_part").count().collect())):
-        rows.append((part, start))
+    for file, n in sorted(map(tuple, kept.groupBy("_file").count().collect())):
+        rows.append((file, start))
         start += n
-    starts = df.sparkSession.createDataFrame(rows, "_part long, _start long")
-    return kept.join(F.broadcast(starts), "_part").withColumn("i", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_start")
+    starts = df.sparkSession.createDataFrame(rows, "_file string, _start long")
+    return kept.join(F.broadcast(starts), "_file").withColumn("i", F.col("_start") + F.col("_at")).drop("_file", "_at", "_start")
 
 
-def write_grid(df: DataFrame, root: str, dims: list[str], index: list[str], shape: tuple[int, ...], chunks: tuple[int, ...], arrays: list[Spec], version: int = 3) -> None:
+def write_grid(df: DataFrame, root: str, dims: list[str], index: list[str], shape: tuple[int, ...], chunks: tuple[int, ...], arrays: list[Spec], version: int = 3, ordered: bool = False) -> None:
     """Arrays of one shape from rows of cells; index names the columns with a cell's places. Chunks
-    without a cell are not written. A task holds one chunk's rows."""
+    without a cell are not written. A task holds one chunk's rows. ordered: most rows come by their
+    first place; then chunks whose rows stand together are written where they are read, a row of chunks
+    at a time, and only the others move."""
     for a in arrays:
         if version == 3:
             _describe(root, a.name, shape, np.dtype(a.dtype), dims, chunks, a.fill, a.attrs, a.codecs or _PLAIN)
@@ -170,12 +174,12 @@ def write_grid(df: DataFrame, root: str, dims: list[str], index: list[str], shap
             _put(f"{root}/{a.name}/.zattrs", {"_ARRAY_DIMENSIONS": dims, **(a.attrs or {})})
     chunk = [F.floor(F.col(i) / c).cast("long").alias(f"_c{k}") for k, (i, c) in enumerate(zip(index, chunks))]
 
-    def put(cells):  # noqa: ANN001, ANN202
-        at = tuple(int(cells[f"_c{k}"].iloc[0]) for k in range(len(chunks)))
-        place = tuple(cells[f"_i{k}"].to_numpy() - at[k] * chunks[k] for k in range(len(chunks)))
+    def put(cells: pa.Table) -> pa.Table:
+        at = tuple(cells.column(f"_c{k}")[0].as_py() for k in range(len(chunks)))
+        place = tuple(cells.column(f"_i{k}").to_numpy() - at[k] * chunks[k] for k in range(len(chunks)))
         for a in arrays:
-            value = cells[a.column].to_numpy()
-            value = value.astype("datetime64[us]").astype("i8") if value.dtype.kind == "M" else value
+            cell = cells.column(a.column)
+            value = (cell.cast(pa.int64()).fill_null(-(1 << 63)) if pa.types.is_timestamp(cell.type) else cell).to_numpy()
             whole = np.full(chunks, a.fill, a.dtype)
             whole[place] = value.astype(a.dtype)
             if version == 3:
@@ -184,11 +188,37 @@ def write_grid(df: DataFrame, root: str, dims: list[str], index: list[str], shap
                 data, kind = whole.tobytes(), (a.compressor or {}).get("id")
                 data = zlib.compress(data) if kind == "zlib" else blosc_lz4(data, whole.dtype.itemsize) if kind == "blosc" else data
                 _put(f"{root}/{a.name}/{'.'.join(map(str, at))}", data)
-        return cells.iloc[:1][["_c0"]]
+        return cells.slice(0, 1).select(["_c0"])
+
+    def settle(held: list[pa.RecordBatch], at: int) -> list[pa.RecordBatch]:
+        """Writes a whole row of chunks; of one with cells missing, the rows to pass on."""
+        if sum(b.num_rows for b in held) != min(chunks[0], shape[0] - at * chunks[0]) * prod(shape[1:]):
+            return held
+        cells = pa.Table.from_batches(held)
+        inner = [cells.column(f"_c{k}").to_numpy() for k in range(1, len(chunks))]
+        for which in product(*[range(-(-n // c)) for n, c in zip(shape[1:], chunks[1:])]):
+            put(cells.filter(pa.array(np.logical_and.reduce([x == i for x, i in zip(inner, which)]))) if which else cells)
+        return []
+
+    def straight(batches):  # noqa: ANN001, ANN202
+        held: list[pa.RecordBatch] = []
+        last = -1
+        for b in batches:
+            first = b.column("_c0").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if start < stop and first[start] != last:
+                    if held:
+                        yield from settle(held, last)
+                    held, last = [], int(first[start])
+                held.append(b.slice(start, stop - start))
+        if held:
+            yield from settle(held, last)
 
     places: list[Column] = [F.col(i).alias(f"_i{k}") for k, i in enumerate(index)]
     rows = df.select(*chunk, *places, *dict.fromkeys(a.column for a in arrays))
-    rows.groupBy(*[f"_c{k}" for k in range(len(chunks))]).applyInPandas(put, "_c0 long").write.format("noop").mode("overwrite").save()
+    rows = rows.mapInArrow(straight, rows.schema) if ordered else rows
+    rows.groupBy(*[f"_c{k}" for k in range(len(chunks))]).applyInArrow(put, "_c0 long").write.format("noop").mode("overwrite").save()
 
 
 def write_v2_group(root: str) -> None:
